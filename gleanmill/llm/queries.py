@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pieces, quality, sharding, tokencount
+from . import chat, jaccard, packing, pieces, quality, sharding, tokencount
 from .runtime import table
 
 
@@ -29,6 +29,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start_byte")
@@ -47,11 +51,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op6_sharding, op8_quality_rules, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op4_ngram_jaccard, op6_sharding, op8_quality_rules, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op8_quality_rules": OP8}
+    return {"op1_chat_format": OP1, "op4_ngram_jaccard": OP4, "op8_quality_rules": OP8}
 
 
 OP1 = r"""
@@ -69,6 +73,20 @@ SELECT conv_id, count(*) AS n_turns,
        count_if(body <> text)::BIGINT AS n_escaped
 FROM told GROUP BY conv_id"""
 
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END, chr(10))) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.y FROM reach JOIN both ON reach.b = both.x)
+SELECT a AS doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(b) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
+
 OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS all_lines FROM d),
