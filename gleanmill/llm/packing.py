@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from . import runtime
 
-#: Words a worker remembers the ids of; the memo restarts when full, results don't depend on it.
-MEMO = 700_000
+#: Words a worker remembers the ids of, twice: a full memo stays as the older one. Results don't depend on it.
+MEMO = 600_000
 #: Windows that may be open at once in a partition before the emptiest are joined.
 OPEN = 4096
 #: Pieces in an output batch.
@@ -57,6 +57,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         probe = "A b,\tc's  'tis x...\n\nÉá z"
         if self.texts([probe]) != [self._bytes(self.tokenizer.encode(probe, add_special_tokens=False).ids)]:
             raise ValueError("this tokenizer's ids of a text are not those of its words")
@@ -66,9 +67,15 @@ class WordIds:
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        memo, match = self.memo, self._WORD_SIGNS.fullmatch
+        memo, older, match = self.memo, self.older, self._WORD_SIGNS.fullmatch
+        if older:
+            known = [w for w in words if w in older]
+            memo.update(zip(known, map(older.__getitem__, known), strict=True))
+            words = words.difference(known)
         parts = {w: m.groups() if (m := match(w)) else (w,) for w in words}
-        new = list({p for ps in parts.values() for p in ps if p not in memo})
+        need = {p for ps in parts.values() for p in ps if p not in memo}
+        memo.update((p, older[p]) for p in need if p in older)
+        new = [p for p in need if p not in memo]
         for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             memo[p] = self._bytes(e.ids)
         for w, ps in parts.items():
@@ -78,7 +85,7 @@ class WordIds:
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         missing = set().union(*split).difference(self.memo)
         if missing:
             self._learn(missing)
