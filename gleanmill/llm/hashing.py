@@ -64,29 +64,35 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: bool = True, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the index of each text's first word (one more entry at the end)."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; a text's end ends its last word."""
     n = len(data)
     if not n:
-        return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
-    if fold:
-        data = _FOLD[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~spaces[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
-    before = np.empty(n, bool)
-    before[0] = False
+    before = np.zeros(n, bool)
     before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1] = False
+    after = np.zeros(n, bool)
     after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, inverse = _power_tables(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[data] * power, out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h ^ (ends - starts).astype(U64)), np.searchsorted(starts, bounds)
+    return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | list[np.ndarray], fold: bool = True) -> np.ndarray | list[np.ndarray]:
+    """Hashes of stretches of bytes; for a list of ends, a list of hashes."""
+    power, inverse = _power_tables(len(data))
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[_FOLD[data] if fold else data] * power, out=total[1:])
+    ends = ends if isinstance(ends, list) else [ends]
+    out = [mix(((total[e] - total[starts]) * inverse[starts]) ^ (e - starts).astype(U64)) if len(starts) else np.zeros(0, U64) for e in ends]
+    return out if len(out) > 1 else out[0]
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: bool = True, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the index of each text's first word (one more entry at the end)."""
+    starts, ends = word_spans(data, bounds, spaces)
+    return span_hashes(data, starts, ends, fold), np.searchsorted(starts, bounds)
 
 
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> list[np.ndarray]:

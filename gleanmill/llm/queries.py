@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, packing, pieces, quality, sharding, tokencount
-from .runtime import table
+from . import chat, jaccard, media, packing, pieces, quality, resample, sharding, tokencount, toxicity
+from .runtime import shared_path, table
 
 
 def _tokenizer(name: str) -> str:
@@ -29,15 +29,29 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "media")
+    media.write_archives(table(spark, sf_dir, "documents"), path)
+    return media.features(media.read_archives(spark, path))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start_byte")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -50,8 +64,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+_ALL = (
+    op1_chat_format,
+    op2_sentencepiece,
+    op3_media,
+    op4_ngram_jaccard,
+    op5_importance_resampling,
+    op6_sharding,
+    op7_toxicity,
+    op8_quality_rules,
+    op9_packing,
+    op10_token_counts,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op4_ngram_jaccard, op6_sharding, op8_quality_rules, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
