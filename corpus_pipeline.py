@@ -1,4 +1,8 @@
-"""Corpus preparation: rules, classifier, near duplicates, packing, one stage after the other."""
+"""Corpus preparation: rules, classifier, near duplicates, packing, one stage after the other.
+
+Each stage works on all documents that its predecessor kept and, but for the last, gives back the columns of
+``documents``. Nulls, empty and repeated rows have the results that the operators' modules define.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmill.llm import packing, runtime
+from gleanmill.llm import jaccard, packing, quality, resample, runtime
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not depleted, without the lines that too many texts of their host share."""
+    return quality.clean_documents(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """An importance sample as large as the share of good texts among the labelled documents that are left (an upper bound of it)."""
+    return resample.sample_documents(docs, runtime.table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked over shingles of five words at a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, jaccard.Rule(words=5, num=80, den=100))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +34,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("packing", pack),
+]
 
-#: Packing depends on the order in which documents arrive, which SQL cannot express.
+#: Packing depends on the order in which documents arrive, which SQL cannot express; tests compare plain versions.
 ORACLE_SQL: str | None = None
 
 
