@@ -6,15 +6,18 @@
 3. Regions: in a ring the hash space is cut into slices. Two linked sets differ in at most D elements, so among the
    first D + 1 slices that a set fills, one is the same in both: the slice's content acts as pivot, all sets at
    distance zero from it there form its region. (Whole documents as global pivots can't do this: unrelated documents
-   are all at distance ~1 from every pivot, and the windows would copy each document to each region.) Regions that share
-   a set are joined into one.
-4. In a region: pivots are chosen, sets go to the cell of the nearest one, and sets whose distance to another pivot is at
+   are all at distance ~1 from every pivot, and the windows would copy each document to each region.)
+4. Such a region holds unrelated sets that share a passage. It is split into Voronoi cells by parity sketches, whose
+   Hamming distance is a metric and at most the number of differing elements: a set farther than D from all leaders
+   becomes one, and every set is tied to each leader within the sum of its own and the leader's members' bounds, so linked
+   sets are tied to a common leader. What ties connect is one region from here on.
+5. In a region: pivots are chosen, sets go to the cell of the nearest one, and sets whose distance to another pivot is at
    most 2 eps larger are copied to its cell; cells are joined in turn, until they are small or no longer shrink. Distances
    are exact integer comparisons. Sets within eps of a pivot are linked to it; sets in one component need no comparing.
-5. Regions above a size are never gathered: batches of pivots meet all members where they are, until every set outside the
+6. Regions above a size are never gathered: batches of pivots meet all members where they are, until every set outside the
    region's largest component has been a pivot.
 
-No link is lost: 2 and 3 hold for every linked pair, 4 by the triangle inequality, 5 by exhaustion.
+No link is lost: 2 and 3 hold for every linked pair, 4 and 5 by the triangle inequality, 6 by exhaustion.
 
 A text without words (or a null one) has an empty set, which links with nothing, not even other empty ones. Copies and
 repeated rows are linked. A null id can't name a component: it has the smallest non-null id of its documents, or null.
@@ -37,7 +40,9 @@ from . import graph, hashing, runtime
 from .hashing import U64, mix
 
 #: Rings of sizes grow by this factor.
-RING = 2
+RING = 1.4
+#: Bits of a parity sketch for each element in which linked sets may differ, and at least.
+SKETCH_BITS, LEAST_BITS = 8, 128
 #: Shingles of a region that one task may hold; larger regions stay spread out.
 REGION = 3_000_000
 #: Shingles of the pivots that a large region tries in one round.
@@ -62,12 +67,12 @@ class Rule:
 
     def rings(self, n: int) -> list[int]:
         """The rings of a set of n elements: that of each size from n up to n / threshold."""
-        first, last = int(math.log(n, RING) + 1e-12), int(math.log(max(n, n * self.den // self.num), RING) + 1e-12)
-        return list(range(first, last + 1))
+        ring_of = lambda size: int(math.log(size) / math.log(RING))
+        return list(range(ring_of(n), ring_of(max(n, n * self.den // self.num)) + 1))
 
     def slices(self, ring: int) -> int:
         """Slices of the hash space in a ring: more than the changes of its largest sets, with room for empty ones."""
-        return 13 * self.most_changes(RING ** (ring + 1)) // 10 + 8
+        return 11 * self.most_changes(math.ceil(RING ** (ring + 1))) // 10 + 6
 
 
 def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
@@ -102,24 +107,34 @@ def _sets(column: pa.Array, rule: Rule) -> Iterator[tuple[int, list[np.ndarray]]
         yield first, hashing.shingle_hashes(*hashing.word_hashes(data, bounds), rule.words)
 
 
+def sketch(s: np.ndarray, rule: Rule) -> bytes:
+    """For each bit the parity of the elements that hash to it; the number of bits is a power of two that grows with the set."""
+    bits = 1 << max(LEAST_BITS, SKETCH_BITS * rule.most_changes(len(s)) - 1).bit_length()
+    at = mix(s + U64(0x2545F4914F6CDD1D)) & U64(bits - 1)  # so halves can be folded onto each other
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _describe(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (no_id, id, text) to (no_id, id, n, set_key, node, signatures); copies within a task give signatures once."""
+    """Rows (no_id, id, text) to (no_id, id, n, set_key, node, signatures, sketch).
+
+    Of copies within a task, the first has signatures and a sketch.
+    """
     seen: set[bytes] = set()
     for batch in batches:
         for first, sets in _sets(batch.column(2), rule):
             keys = [_set_key(s) if len(s) else b"" for s in sets]
-            found, counts = [], []
+            found, counts, sketches = [], [], []
             for s, key in zip(sets, keys, strict=True):
+                own = np.zeros(0, U64)
                 if len(s) and key not in seen:
                     seen.add(key)
-                    found.append(signatures(s, rule))
-                    counts.append(len(found[-1]))
-                else:
-                    counts.append(0)
+                    own = signatures(s, rule)
+                found.append(own)
+                counts.append(len(own))
+                sketches.append(sketch(s, rule) if len(own) else None)
             if len(seen) > 500_000:
                 seen.clear()
-            flat = np.concatenate(found) if found else np.zeros(0, U64)
-            bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            bounds = np.concatenate(([0], np.cumsum(counts)))
             part = batch.slice(first, len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -128,42 +143,81 @@ def _describe(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([int.from_bytes(k[:8], "big", signed=True) if k else 0 for k in keys], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(found).view(np.int64))),
+                    pa.array(sketches, pa.binary()),
                 ],
-                names=["no_id", "id", "n", "set_key", "node", "signatures"],
+                names=["no_id", "id", "n", "set_key", "node", "signatures", "sketch"],
             )
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, node) in order to distinct (a, b): each other node of a signature with its first."""
-    last, pivot = None, 0
-    waiting: list[np.ndarray] = []
-    count = 0
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (signature, node) in order, the distinct ones whose signature has two nodes or more."""
+    held = np.zeros((0, 2), np.int64)  # the last distinct row, and whether it was given out
+    given = False
 
-    def flush() -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(waiting), axis=0)
-        waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["signature", "node"])
 
     for batch in batches:
-        if not batch.num_rows:
+        rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
+        if len(rows) < 2:
+            held = rows
             continue
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.empty(len(sig), bool)
-        new[0] = last is None or sig[0] != last
-        np.not_equal(sig[1:], sig[:-1], out=new[1:])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        first = np.where(at >= 0, node[np.maximum(at, 0)], pivot)
-        keep = node != first
-        if keep.any():
-            waiting.append(np.stack([node[keep], first[keep]], axis=1))
-            count += int(keep.sum())
-            if count > 200_000:
-                yield flush()
-                count = 0
-        last, pivot = sig[-1], first[-1]
-    if waiting:
-        yield flush()
+        keep = np.ones(len(rows), bool)
+        keep[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        rows = rows[keep]
+        same = rows[1:, 0] == rows[:-1, 0]
+        out = np.zeros(len(rows), bool)
+        out[1:] |= same
+        out[:-1] |= same
+        if given:
+            out[0] = False
+        given = bool(len(same) and same[-1]) or (given and len(rows) == 1)
+        held = rows[-1:]
+        if out.any():
+            yield batch_of(rows[out])
+
+
+def _fold(value: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        value = (value >> bits) ^ (value & ((1 << bits) - 1))
+    return value
+
+
+def _ties(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (signature, node, n, sketch) in order to ties (a, b) of nodes with leaders of their signature."""
+    current, leaders = None, []
+    out: list[tuple[int, int]] = []
+
+    def batch_of() -> pa.RecordBatch:
+        found = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        out.clear()
+        return found
+
+    for batch in batches:
+        for signature, node, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            size, value = 8 * len(bits), int.from_bytes(bits, "big")
+            if signature != current:
+                current, leaders = signature, []
+            own = rule.most_changes(n)
+            near = own + rule.most_changes(n * rule.den // rule.num)  # a linked set is within own, its leader within its own bound
+            lead = True
+            for other, other_size, other_value in leaders:
+                if size == other_size:
+                    apart = (value ^ other_value).bit_count()
+                else:
+                    least = min(size, other_size)
+                    apart = (_fold(value, size, least) ^ _fold(other_value, other_size, least)).bit_count()
+                if apart <= near:
+                    out.append((node, other))
+                    lead = lead and apart > own
+            if lead:
+                leaders.append((node, size, value))
+        if len(out) > 20_000:
+            yield batch_of()
+    if out:
+        yield batch_of()
 
 
 class Region:
@@ -374,11 +428,13 @@ def classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_c
     runtime.ship(spark)
     runtime.arrow_rows(spark)
     rows = docs.select(*_keyed(docs, id_col, text_col))
-    described = rows.mapInArrow(partial(_describe, rule), "no_id boolean, id long, n long, set_key binary, node long, signatures array<long>")
+    described = rows.mapInArrow(partial(_describe, rule), "no_id boolean, id long, n long, set_key binary, node long, signatures array<long>, sketch binary")
     described = runtime.cut(described, "sets")
     signed = described.where(F.size("signatures") > 0).select(F.explode("signatures").alias("signature"), "node")
-    stars = signed.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_stars, "a long, b long")
-    regions = graph.components(stars).withColumnRenamed("root", "region")
+    shared = signed.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "signature long, node long")
+    sketches = described.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    meeting = shared.join(sketches, "node").select("signature", "node", "n", "sketch").repartition("signature").sortWithinPartitions("signature", "node")
+    regions = graph.components(meeting.mapInArrow(partial(_ties, rule), "a long, b long")).withColumnRenamed("root", "region")
 
     whole = described.where("n > 0").groupBy("set_key").agg(F.min(F.struct("no_id", "id")).alias("own"), F.first("n").alias("n"), F.first("node").alias("node"))
     whole = runtime.cut(whole.select("set_key", "n", "node", "own.no_id", "own.id"), "classes")

@@ -120,6 +120,10 @@ def test_linked_sets_share_a_signature(rule):
             if len(t) and rule.den * common >= rule.num * (len(s) + len(t) - common) and not np.array_equal(s, t):
                 tried += 1
                 assert len(np.intersect1d(jaccard.signatures(s, rule), jaccard.signatures(t, rule)))
+                a, b = (jaccard.sketch(x, rule) for x in (s, t))
+                least = 8 * min(len(a), len(b))
+                apart = jaccard._fold(int.from_bytes(a, "big"), 8 * len(a), least) ^ jaccard._fold(int.from_bytes(b, "big"), 8 * len(b), least)
+                assert apart.bit_count() <= len(s) + len(t) - 2 * common
     assert tried > 200
 
 
