@@ -185,9 +185,33 @@ def _fold(value: int, bits: int, to: int) -> int:
     return value
 
 
+class _Forest:
+    """Which nodes a task has connected so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def connect(self, x: int, y: int) -> bool:
+        """False if they were connected already."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _ties(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, node, n, sketch) in order to ties (a, b) of nodes with leaders of their signature."""
-    current, leaders = None, []
+    """Rows (signature, node, n, sketch) in order to ties (a, b) of nodes with leaders of their signature.
+
+    A task gives out a forest: ties between nodes that it has connected already are left out. Leaders of a signature
+    are found in the order of nodes, so most ties of a group of near copies are to the same few nodes.
+    """
+    current, leaders, forest = None, [], _Forest()
     out: list[tuple[int, int]] = []
 
     def batch_of() -> pa.RecordBatch:
@@ -210,7 +234,8 @@ def _ties(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     least = min(size, other_size)
                     apart = (_fold(value, size, least) ^ _fold(other_value, other_size, least)).bit_count()
                 if apart <= near:
-                    out.append((node, other))
+                    if forest.connect(node, other):
+                        out.append((node, other))
                     lead = lead and apart > own
             if lead:
                 leaders.append((node, size, value))
