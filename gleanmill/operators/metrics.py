@@ -128,9 +128,7 @@ def grounded(answer: Column, parent_ids: Column) -> dict[str, Column]:
     return {"cites_context": F.exists(parent_ids, lambda p: F.contains(answer, p.cast("string"))).cast("double"), "unsupported_answer": unsupported.cast("double"), "non_empty": (F.trim(answer) != "").cast("double")}
 
 
-@F.pandas_udf("precision double, recall double, similarity double")
-def char_similarity(parsed: pd.Series, oracle: pd.Series) -> pd.DataFrame:
-    """MET-11: matching blocks of two normalised texts, without the popularity heuristic."""
+def _matching(parsed: pd.Series, oracle: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(parsed.fillna(""), oracle.fillna(""), strict=True):
         m = difflib.SequenceMatcher(None, a, b, autojunk=False)
@@ -139,6 +137,11 @@ def char_similarity(parsed: pd.Series, oracle: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["precision", "recall", "similarity"])
 
 
+def char_similarity(parsed: Column, oracle: Column) -> Column:
+    """MET-11: precision, recall and similarity by the matching blocks of two normalised texts, without the popularity heuristic."""
+    return F.pandas_udf(_matching, "precision double, recall double, similarity double")(parsed, oracle)
+
+
 def duplicate_ngrams(c: Column, n: int = 20) -> Column:
     """AGG-20: share of n-character windows that repeat an earlier one; 0 for shorter texts."""
     t = tx.blank(c)
