@@ -1,4 +1,4 @@
 """All registered queries of the library's own operators."""
 
-from . import chunks, ranking, sets, texts  # noqa: F401
+from . import chunks, plans, ranking, sets, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
