@@ -251,4 +251,4 @@ def preferred(*columns: Column) -> Column:
 def position_ratio(page_start: Column, page_count: Column) -> Column:
     """FN-44: clamped to 0..1; 1 where a number is missing."""
     ratio = page_start.try_cast("double") / F.greatest(page_count.try_cast("double"), F.lit(1.0))
-    return F.coalesce(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    return F.when(ratio.isNull(), 1.0).otherwise(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)))
