@@ -25,18 +25,27 @@ def analyzed(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(tx.blank(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """SNK-05: ``term, doc_id, tf, dl``; of rows with the same doc_id one is kept."""
-    one = docs.select("doc_id", F.col(text_col).alias("text")).groupBy("doc_id").agg(F.max("text").alias("text"))
-    terms = one.select("doc_id", analyzed(F.col("text")).alias("terms"))
-    rows = terms.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+def _once(docs: DataFrame, text_col: str, dedupe: bool) -> DataFrame:
+    rows = docs.select("doc_id", F.col(text_col).alias("text"))
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text")) if dedupe else rows
+
+
+def postings(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None, dedupe: bool = True) -> DataFrame:
+    """SNK-05: ``term, doc_id, tf, dl``; of rows with the same doc_id one is kept (``dedupe=False``: ids are unique, no text moves).
+
+    With ``terms`` (column ``term``) only those are indexed, and other words are gone before anything is shuffled.
+    """
+    words = _once(docs, text_col, dedupe).select("doc_id", analyzed(F.col("text")).alias("terms"))
+    rows = words.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def document_stats(docs: DataFrame, text_col: str = "text", dedupe: bool = True) -> DataFrame:
     """One row: number of documents and mean length."""
-    one = docs.groupBy("doc_id").agg(F.max(text_col).alias("text"))
-    return one.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(analyzed(F.col("text")))).alias("avg_len"))
+    n = F.regexp_count(F.lower(tx.blank(F.col("text"))), F.lit(r"[\p{L}\p{N}_]+"))
+    return _once(docs, text_col, dedupe).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avg_len"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -17,7 +17,8 @@ def questions(spark, sf):
 
 
 def bm25_over(docs, asked, k=10):
-    return rt.bm25(asked, rt.postings(docs), rt.document_stats(docs), k)
+    terms = asked.select(F.explode(rt.analyzed(F.col("text"))).alias("term"))
+    return rt.bm25(asked, rt.postings(docs, terms=terms, dedupe=False), rt.document_stats(docs, dedupe=False), k)
 
 
 def _bm25(source: str, name: str, k: int, text: str = "text", id_: str = "doc_id") -> str:

@@ -1,4 +1,4 @@
-"""Gives the package to the executors, so that Python worker code is importable there."""
+"""What every query needs of its session: worker code on the executors, and rows on all cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "gleanmill.library.shipped"
 
@@ -26,3 +26,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
         sc.addPyFile(path)
     sc.setLocalProperty(_SHIPPED, sc.applicationId)
+
+
+#: Tables up to this size are dealt out when they come in fewer files than there are cores.
+SMALL_TABLE = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table of one or a few files would be scanned by as few tasks: its rows are dealt to all cores. Others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) * 2 > cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_TABLE:
+        return df
+    return df.repartition(cores)
