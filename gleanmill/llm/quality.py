@@ -119,6 +119,7 @@ def assess(
 
 
 def _judge(rows: DataFrame, min_texts: int, share: float, min_left: float, min_words: int, max_repeat: float) -> DataFrame:
+    runtime.arrow_rows(rows.sparkSession)
     hot = runtime.cut(common_lines(rows, min_texts, share), "lines")
     total = hot.agg(F.sum("lines")).first()[0] or 0  # one number
     if total <= BROADCAST_LINES:

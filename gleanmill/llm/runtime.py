@@ -9,8 +9,12 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import dealt
+
 #: Rows that reach a Python worker at once; operators slice further by bytes.
 ARROW_ROWS = 2000
+#: Rows that a Parquet reader holds at once: texts of some KB each must not need buffers of tens of MB.
+READER_ROWS = 512
 
 _SHIPPED = "gleanmill.shipped"
 
@@ -57,18 +61,12 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Smaller Arrow batches: a batch of long texts must not fill a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) != rows:
-        spark.conf.set(key, str(rows))
+def arrow_rows(spark: SparkSession) -> None:
+    """Smaller Arrow and Parquet batches: a batch of long texts must not fill a worker's or an executor's memory."""
+    for key, default, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READER_ROWS)):
+        if int(spark.conf.get(key, default)) != rows:
+            spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input came as fewer partitions than there are cores (one small file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
