@@ -110,8 +110,8 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.y FROM reach JOIN both ON reach.b = both.x)
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ends.y FROM reach JOIN ends ON reach.b = ends.x)
 SELECT a AS doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(b) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
 
