@@ -157,22 +157,32 @@ def cut_of_top(keyed: DataFrame, k: int, bins: int = 4096, few: int = 20_000) ->
     return keys[0]
 
 
-def good_share(docs: DataFrame, labels: DataFrame) -> float:
-    """An upper bound of the share of good texts: the labelled rows' mean, three standard errors and 0.01 more."""
+def good_share(docs: DataFrame, labels: DataFrame) -> tuple[float, float]:
+    """Bounds of the share of good texts: the labelled rows' mean, three standard errors and 0.01 on either side."""
     found = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     mean, n = found.agg(F.avg(F.col("quality").cast("double")), F.count(F.lit(1))).first()
-    return 1.0 if not n else min(1.0, mean + 3 * math.sqrt(mean * (1 - mean) / n) + 0.01)
+    if not n:
+        return 0.0, 1.0
+    margin = 3 * math.sqrt(mean * (1 - mean) / n) + 0.01
+    return max(0.0, mean - margin), min(1.0, mean + margin)
+
+
+def sample_size(docs: DataFrame, labels: DataFrame, keyed: DataFrame) -> int:
+    """As many rows as are at least as likely under the target as under the raw model, within the bounds of the good share."""
+    n, likely = keyed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= 0)).first()
+    low, high = good_share(docs, labels)
+    return min(max(likely, math.ceil(low * n)), math.ceil(high * n))
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, share: float | None, seed: int) -> tuple[np.ndarray, DataFrame, float]:
     ratio = fit(docs, labels)
     keyed = runtime.cut(weigh(docs, ratio, seed), "weights")
-    share = good_share(docs, labels) if share is None else share
-    return ratio, keyed, cut_of_top(keyed, math.ceil(share * keyed.count()))
+    k = sample_size(docs, labels, keyed) if share is None else math.ceil(share * keyed.count())
+    return ratio, keyed, cut_of_top(keyed, k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
-    """``doc_id, log_weight, key, selected`` of every row; ``share`` of the rows are selected (None: ``good_share``)."""
+    """``doc_id, log_weight, key, selected`` of every row; ``share`` of the rows are selected (None: ``sample_size`` rows)."""
     _, keyed, cut = _fitted(docs, labels, share, seed)
     return keyed.withColumn("selected", F.col("key") >= cut)
 

@@ -107,7 +107,7 @@ def test_resampling_equals_plain_version(spark, tables):
     # by default, what the labels call good stays and junk goes
     bad = {r.doc_id for r in labels.collect() if r.quality == 0}
     stays = {r.doc_id for r in resample.resample(docs, labels).collect() if r.selected}
-    assert len(good & stays) > 0.97 * len(good) and len(bad & stays) < 0.5 * len(bad)
+    assert len(good & stays) > 0.99 * len(good) and len(bad & stays) < 0.1 * len(bad)
 
 
 def test_noise_is_gumbel(spark):

@@ -28,8 +28,10 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in left.collect())
 
     chosen = runtime.cut(classifier(spark, left, SF), "classifier")
-    keys = sorted((r.key for r in resample.weigh(left, resample.fit(left, labels)).collect()), reverse=True)
-    k = math.ceil(resample.good_share(left, labels) * len(keys))
+    weighed = resample.weigh(left, resample.fit(left, labels)).collect()
+    keys = sorted((r.key for r in weighed), reverse=True)
+    low, high = resample.good_share(left, labels)
+    k = min(max(sum(r.log_weight >= 0 for r in weighed), math.ceil(low * len(keys))), math.ceil(high * len(keys)))
     assert chosen.columns == columns and chosen.count() == sum(x >= keys[k - 1] for x in keys)
 
     single = runtime.cut(duplicates(spark, chosen, SF), "duplicates")
