@@ -11,6 +11,7 @@ stays null, an empty table gives no pieces. Only the id and the text are read, s
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -46,16 +47,24 @@ class WordIds:
     The tokenizer must split at white space and normalise words on their own (checked on a probe when built).
     """
 
-    #: Latin letters, then ASCII signs other than the apostrophe: always two pre-tokens.
+    #: Latin letters: always one pre-token.
+    _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+    #: Latin letters, then ASCII signs other than the apostrophe: always two.
     _WORD_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-;=?@\[-`{}~]+)")
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, most: int = MEMO):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith(suffix)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         probe = "A b,\tc's  'tis x...\n\nÉá z"
@@ -76,15 +85,29 @@ class WordIds:
         need = {p for ps in parts.values() for p in ps if p not in memo}
         memo.update((p, older[p]) for p in need if p in older)
         new = [p for p in need if p not in memo]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        plain = [p for p in new if self._LETTERS.fullmatch(p)] if len(self.ends) > 1 else []
+        for first in range(0, len(plain), 2000):
+            self._learn_plain(plain[first : first + 2000])
+        rest = [p for p in new if p not in memo]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             memo[p] = self._bytes(e.ids)
         for w, ps in parts.items():
             if len(ps) > 1:
                 memo[w] = memo[ps[0]] + memo[ps[1]]
 
+    def _learn_plain(self, words: list[str]) -> None:
+        """Words of letters alone are one pre-token each: encoded in one go, their ids part after each id that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) == len(words):  # else they are encoded one by one
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(words, stops, strict=True):
+                self.memo[word] = raw[start:stop]
+                start = stop
+
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo, self.older = {}, self.memo
         missing = set().union(*split).difference(self.memo)
         if missing:
@@ -199,7 +222,7 @@ def _pack_batches(shared, width: int, end_id: int, batches: Iterator[pa.RecordBa
     key = shared.value["id"]
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordIds(shared.value["json"])
+        _encoders[key] = WordIds(shared.value["json"], shared.value["memo"])
     encoder = _encoders[key]
     sequence = TaskContext.get().partitionId() << 40
     closing = np.array([end_id], "<u4").tobytes()
@@ -219,8 +242,8 @@ def _pack_batches(shared, width: int, end_id: int, batches: Iterator[pa.RecordBa
 
     packer = Packer(width, emit)
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
+        for first in range(0, batch.num_rows, 512):
+            part = batch.slice(first, 512)
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.texts([t or "" for t in part.column(1).to_pylist()]), strict=True):
                 packer.add(doc_id, ids + closing)
             while len(rows) >= ROWS:
@@ -231,9 +254,10 @@ def _pack_batches(shared, width: int, end_id: int, batches: Iterator[pa.RecordBa
         yield batch_of(rows)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
+    ``memo`` words are remembered (twice) by a worker, some 200 MB a million: fewer save memory and cost CPU time.
     ``tokenizer_path`` is read on the driver; the file (1 to 3 MB) is broadcast. A lost task repeats its own partition,
     whose sequence numbers depend on nothing else.
     """
@@ -242,6 +266,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_
     runtime.arrow_rows(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
-    shared = spark.sparkContext.broadcast({"id": zlib.crc32(content.encode()), "json": content})
+    shared = spark.sparkContext.broadcast({"id": zlib.crc32(f"{memo} {content}".encode()), "json": content, "memo": memo})
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(partial(_pack_batches, shared, width, end_id), _OUT)
