@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """An importance sample as large as the share of good texts among the labelled documents that are left (an upper bound of it)."""
+    """An importance sample of as many documents as the target model finds likely, within bounds from the labels that are left."""
     return resample.sample_documents(docs, runtime.table(spark, sf_dir, "labels"))
 
 
@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, packed into windows of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Every document that is left, packed into windows of 2048 tokens; small memos, as other stages' workers stay alive."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=200_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
