@@ -1,8 +1,9 @@
 """Quality rules: per-document counts, and lines that too many documents of a host share. DataFrame functions only.
 
 Base rules look at one text. The method's verdict compares documents: every distinct normalised line of a distinct text
-is hashed and the distinct texts of a host that hold it are counted; lines above both limits (a number of texts, and a
-share of the host's texts) are removed, and a document left with too small a share of its words is rejected as depleted.
+is hashed and the distinct texts of a host that hold it are counted; lines in more texts than the limit are removed, and
+a document left with too small a share of its words is rejected as depleted. A share of the host's texts can be given as
+a second limit; by default the number decides alone, as a share spares more of a line's copies the larger a host is.
 Exact copies count as one text, so copying a document does not make its lines boilerplate.
 
 A null text has no words (and fails the base rules); a null host is a host of its own; null ids stay null; repeated
@@ -20,8 +21,8 @@ from . import runtime
 _SPACES = r"[ \t\n\x0B\f\r]+"
 _SPACE_CHARS = " \t\n\x0b\f\r"
 _SIGNS = "#*$%&|<>"
-#: A frequent line table of up to so many rows is sent to all executors; beyond, the join shuffles.
-BROADCAST_LINES = 50_000
+#: Up to so many frequent lines are sent to all executors, by host; beyond, each text gets its own by joins that shuffle.
+BROADCAST_LINES = 5_000
 
 
 def words_of(text: Column) -> Column:
@@ -82,24 +83,37 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col("_of_words")[c] for c in ("n_words", "n_repeat_words")}).drop("_of_words")
 
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """``host, of, line``: the hashes of each row's text and of its distinct lines."""
+    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), _is_filled), _line_hash))
+    return rows.select("host", F.xxhash64("text").alias("of"), F.explode(hashes).alias("line"))
+
+
 def common_lines(docs: DataFrame, min_texts: int, share: float) -> DataFrame:
-    """``host, hashes``: hashes of lines that more than ``min_texts`` and more than ``share`` of a host's texts hold.
+    """``host, line``: hashes of lines that more than ``min_texts`` and more than ``share`` of a host's texts hold.
 
     Counting is combined before each shuffle, by (host, line, text) and then by (host, line), so a hot host or line is
-    never gathered in one task. A host has at most (lines of a mean text) / share such lines.
+    never gathered in one task.
     """
-    texts = docs.select("host", F.xxhash64("text").alias("of"), "text")
-    lines = texts.select("host", "of", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), _is_filled), _line_hash))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("of").alias("n")).where(F.col("n") > min_texts)
-    hosts = texts.groupBy("host").agg(F.count_distinct("of").alias("texts"))
-    hot = counts.join(hosts, "host").where(F.col("n") > F.lit(share) * F.col("texts"))
-    return hot.groupBy("host").agg(F.collect_list("line").alias("hashes"), F.count(F.lit(1)).alias("lines"))
+    counts = _lines(docs).groupBy("host", "line").agg(F.count_distinct("of").alias("n")).where(F.col("n") > min_texts)
+    if share > 0:
+        hosts = docs.groupBy("host").agg(F.count_distinct(F.xxhash64("text")).alias("texts"))
+        counts = counts.join(hosts, "host").where(F.col("n") > F.lit(share) * F.col("texts"))
+    return counts.select("host", "line")
+
+
+def _with_hashes(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``hashes``: the frequent lines of the row's host or, where these are many, of its text only; null if none."""
+    if hot.count() <= BROADCAST_LINES:
+        return rows.join(F.broadcast(hot.groupBy("host").agg(F.collect_list("line").alias("hashes"))), "host", "left")
+    own = _lines(rows).join(hot, ["host", "line"]).groupBy("host", "of").agg(F.collect_set("line").alias("hashes"))
+    return rows.withColumn("of", F.xxhash64("text")).join(own, ["host", "of"], "left").drop("of")
 
 
 def assess(
     docs: DataFrame,
     min_texts: int = 20,
-    share: float = 0.2,
+    share: float = 0.0,
     min_left: float = 0.5,
     min_words: int = 50,
     max_repeat: float = 0.5,
@@ -120,11 +134,7 @@ def assess(
 
 def _judge(rows: DataFrame, min_texts: int, share: float, min_left: float, min_words: int, max_repeat: float) -> DataFrame:
     runtime.arrow_rows(rows.sparkSession)
-    hot = runtime.cut(common_lines(rows, min_texts, share), "lines")
-    total = hot.agg(F.sum("lines")).first()[0] or 0  # one number
-    if total <= BROADCAST_LINES:
-        hot = F.broadcast(hot)
-    counted = base_counts(rows.join(hot.drop("lines"), "host", "left"))
+    counted = base_counts(_with_hashes(rows, runtime.cut(common_lines(rows, min_texts, share), "lines")))
     stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("hashes", _line_hash(x)))
     clean = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     out = counted.withColumn("clean_text", clean).drop("hashes")
@@ -136,7 +146,7 @@ def _judge(rows: DataFrame, min_texts: int, share: float, min_left: float, min_w
 
 def clean_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that are kept, with their columns; lines above the limits are gone from ``text``, ``n_chars`` follows."""
-    settings = {"min_texts": 20, "share": 0.2, "min_left": 0.5, "min_words": 50, "max_repeat": 0.5} | limits
+    settings = {"min_texts": 20, "share": 0.0, "min_left": 0.5, "min_words": 50, "max_repeat": 0.5} | limits
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
     # the arrival number keeps the filter above the counts, which are then computed once

@@ -135,3 +135,22 @@ def test_quality_equals_plain_version(spark, name):
     assert kept.columns == df.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in want if r[-1])
     assert quality.assess(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [quality.BROADCAST_LINES, 0])
+def test_production_limits_remove_lines_and_documents(spark, monkeypatch, most):
+    """A line of 21 to 60 of a host's 300 texts goes, one of 20 stays; exact copies are one text; another host is not touched."""
+    monkeypatch.setattr(quality, "BROADCAST_LINES", most)
+    own = lambda i: " ".join(f"w{i}_{k}" for k in range(60))
+    short, long = "Share this page", " ".join(f"l{k}" for k in range(100))
+    lines = {i: ([short] if i < 60 else []) + ([long] if 50 <= i < 71 else []) + (["in just twenty"] if 100 <= i < 120 else []) for i in range(300)}
+    rows = [(i, "\n".join([*x, own(i)]), "h1") for i, x in lines.items()] + [(400 + i, f"in just twenty\n{own(100)}", "h1") for i in range(30)]
+    rows += [(500 + i, f"{short}\n{own(i)}", "h2") for i in range(20)] + [(600, None, None)]
+    df = spark.createDataFrame(rows, fields(doc_id=L, text=S, source=S)).repartition(3)
+    got = {r.doc_id: r for r in quality.assess(df).collect()}
+    want = plain_quality(rows, 20, 0, 0.5)
+    assert sorted(tuple(got[i][c] for c in COLUMNS) for i in got) == sorted(want)
+    assert {i for i, r in got.items() if not r.kept and not r.base_failed} == set(range(50, 71))
+    assert all(got[i].clean_text == own(i) for i in range(71)) and got[100].clean_text.startswith("in just twenty")
+    kept = {r.doc_id: r.text for r in quality.clean_documents(df).collect()}
+    assert set(kept) == {r[0] for r in want if r[-1]} and kept[0] == own(0) and kept[500] == f"{short}\n{own(0)}"
