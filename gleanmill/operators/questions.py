@@ -116,10 +116,14 @@ def hash_order(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def eval_subset(docs: DataFrame, gold: DataFrame, most: int) -> DataFrame:
-    """TOP-11, JN-14: documents of gold parents first, then others by id, ``most`` in all."""
-    mark = docs.join(gold.select(F.col("doc_id").alias("parent_id")).distinct().withColumn("_gold", F.lit(0)), "parent_id", "left")
-    return mark.orderBy(F.coalesce("_gold", F.lit(1)), "doc_id").limit(most).withColumn("is_gold", F.col("_gold").isNotNull()).drop("_gold")
+def eval_subset(docs: DataFrame, gold: DataFrame, most: int = 10_000) -> DataFrame:
+    """TOP-11, JN-14: all documents of gold parents, then others by id while there are fewer than ``most`` in all."""
+    parents = gold.select(F.col("doc_id").alias("parent_id")).distinct().withColumn("is_gold", F.lit(True))
+    mark = docs.join(parents, "parent_id", "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
+    known = mark.where("is_gold")
+    room = known.agg((F.lit(most) - F.count(F.lit(1))).alias("_room"))
+    first = mark.where("not is_gold").orderBy("doc_id").limit(most).withColumn("_nth", F.row_number().over(Window.orderBy("doc_id")))
+    return known.unionByName(first.crossJoin(F.broadcast(room)).where("_nth <= _room").drop("_nth", "_room"))
 
 
 def targets(limit: int, quotas: dict[str, float] = QUOTAS) -> dict[str, int]:
