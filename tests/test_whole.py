@@ -1,5 +1,7 @@
 """Queries that must use all rows and whole texts, on tables made here."""
 
+import hashlib
+
 from gleanmill import registry
 from gleanmill.operators import questions as qs
 
@@ -20,3 +22,10 @@ def test_eval_subset_keeps_all_gold(spark, tmp_path):
     sf = tables(spark, tmp_path, [(i, f"some passage here {i}" if i < 130 else f"other {i}") for i in range(150)], [(1, "some passage here")])
     rows = registry.QUERIES["eval_subset"](spark, sf).collect()
     assert len(rows) == 150 and sum(r.is_gold for r in rows) == 130
+
+
+def test_reading_order_has_every_line(spark, tmp_path):
+    lines = [f"line {i} of a document that is longer than forty characters" for i in range(95)]
+    rows = registry.QUERIES["reading_order"](spark, tables(spark, tmp_path, [(1, "\n".join(lines)), (2, "\n".join(lines[:40]))])).collect()
+    assert sorted(r.text_md5 for r in rows if r.doc_id == 1) == sorted(hashlib.md5(x.encode()).hexdigest() for x in lines)
+    assert sum(r.doc_id == 2 for r in rows) == 40
