@@ -29,3 +29,11 @@ def test_reading_order_has_every_line(spark, tmp_path):
     rows = registry.QUERIES["reading_order"](spark, tables(spark, tmp_path, [(1, "\n".join(lines)), (2, "\n".join(lines[:40]))])).collect()
     assert sorted(r.text_md5 for r in rows if r.doc_id == 1) == sorted(hashlib.md5(x.encode()).hexdigest() for x in lines)
     assert sum(r.doc_id == 2 for r in rows) == 40
+
+
+def test_char_similarity_matches_whole_texts(spark, tmp_path):
+    passage = "zebra quartz violin"
+    text = " ".join(["filler"] * 100) + " " + passage
+    row = registry.QUERIES["char_similarity"](spark, tables(spark, tmp_path, [(1, text), (2, "nothing alike")], [(7, passage)])).collect()[0]
+    n, m = len(text.replace(" ", "")), len(passage.replace(" ", ""))
+    assert (row.query_id, row.recall, row.precision, row.similarity) == (7, 1.0, round(m / n, 6), round(2 * m / (n + m), 6))
