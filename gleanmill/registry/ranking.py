@@ -221,7 +221,7 @@ SELECT item_id AS query_id, doc_id AS parent_id, round(len(list_intersect(a, b))
 def lexical_overlap(spark, sf):
     """FN-28, FN-29."""
     g = gold(spark, sf).join(questions(spark, sf), "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("e")), "parent_id")
-    return g.select("query_id", "parent_id", F.round(tx.overlap_office(F.col("text"), F.col("e")), 6).alias("office"), F.round(tx.overlap_spaces(F.col("text"), F.substring("e", 1, 400)), 6).alias("spaces"))
+    return g.select("query_id", "parent_id", F.round(tx.overlap_office(F.col("text"), F.col("e")), 6).alias("office"), F.round(tx.overlap_spaces(F.col("text"), F.col("e")), 6).alias("spaces"))
 
 
 @query(None)
@@ -242,7 +242,7 @@ def bootstrap_ci(spark, sf):
 @query(None)
 def rag_mock(spark, sf):
     """RET-09, RET-10, MET-10, MET-12: mock answers over the five best documents, judged."""
-    top = bm25_topk(spark, sf).where("rank <= 5").join(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 700).alias("content")), "doc_id")
+    top = bm25_topk(spark, sf).where("rank <= 5").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     ctx = top.select("query_id", F.col("doc_id").alias("parent_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", "content")
     told = rt.answer(questions(spark, sf).select("query_id", F.col("text").alias("question")), ctx)
     ids = ctx.groupBy("query_id").agg(F.array_sort(F.collect_list("parent_id")).alias("ids"))

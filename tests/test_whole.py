@@ -4,6 +4,7 @@ import hashlib
 
 from gleanmill import registry
 from gleanmill.operators import questions as qs
+from gleanmill.operators import retrieval as rt
 
 
 def tables(spark, path, docs, passages=()):
@@ -37,3 +38,13 @@ def test_char_similarity_matches_whole_texts(spark, tmp_path):
     row = registry.QUERIES["char_similarity"](spark, tables(spark, tmp_path, [(1, text), (2, "nothing alike")], [(7, passage)])).collect()[0]
     n, m = len(text.replace(" ", "")), len(passage.replace(" ", ""))
     assert (row.query_id, row.recall, row.precision, row.similarity) == (7, 1.0, round(m / n, 6), round(2 * m / (n + m), 6))
+
+
+def test_overlap_and_contexts_use_whole_texts(spark, tmp_path, monkeypatch):
+    passage = "zebra quartz violin"
+    text = " ".join(["filler"] * 200) + " " + passage
+    sf = tables(spark, tmp_path, [(1, text)], [(7, passage)])
+    assert [(r.office, r.spaces) for r in registry.QUERIES["lexical_overlap"](spark, sf).collect()] == [(1.0, 1.0)]
+    seen = []
+    monkeypatch.setattr(rt, "answer", lambda asked, contexts, answer=rt.answer: seen.extend(contexts.collect()) or answer(asked, contexts))
+    assert registry.QUERIES["rag_mock"](spark, sf).count() == 1 and [r.content for r in seen] == [text]
