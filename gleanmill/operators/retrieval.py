@@ -5,19 +5,28 @@ Rankings are long tables ``query_id, doc_id, score, rank``. Ties are broken by t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import text as tx
 
 # Engine defaults.
 K1, B, RRF_K, TOP_K, CANDIDATES = 1.2, 0.75, 60, 10, 50
-#: Queries that are multiplied with vectors at once; more are done block by block.
-QUERY_BLOCK = 1024
+#: Queries that are multiplied with a batch of vectors at once, and queries that are sent out for one scan of the vectors.
+QUERY_BLOCK, QUERIES = 1024, 16_384
+#: Words of queries or passages that are sent to all executors (a few MB); more are joined by shuffles.
+FEW_WORDS = 50_000
+#: Whole words that one expression compares; and passages without such words that one scan compares.
+FEW_KEYS, FEW_PASSAGES = 5_000, 500
+#: Not a word: its postings are all documents.
+EVERY = ""
 
 
 def analyzed(c: Column) -> Column:
@@ -25,41 +34,90 @@ def analyzed(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(tx.blank(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def _once(docs: DataFrame, text_col: str, dedupe: bool) -> DataFrame:
-    rows = docs.select("doc_id", F.col(text_col).alias("text"))
-    return rows.groupBy("doc_id").agg(F.max("text").alias("text")) if dedupe else rows
+def last_written(rows: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """SNK-04, SNK-05: of rows with the same key the one that is last by ``order`` (default: by arrival)."""
+    others = [c for c in rows.columns if c != key]
+    placed = rows.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    return placed.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("_last")).select(key, *[F.col("_last").getField(c).alias(c) for c in others])
 
 
-def postings(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None, dedupe: bool = True) -> DataFrame:
-    """SNK-05: ``term, doc_id, tf, dl``; of rows with the same doc_id one is kept (``dedupe=False``: ids are unique, no text moves).
+def _bounded(df: DataFrame) -> DataFrame:
+    """Sent to all executors if its checked size allows."""
+    return F.broadcast(df) if df.count() <= FEW_WORDS else df
 
-    With ``terms`` (column ``term``) only those are indexed, and other words are gone before anything is shuffled.
+
+def postings(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None, dedupe: bool = True, order: str | None = None) -> DataFrame:
+    """SNK-05: ``term, doc_id, tf, dl``, and a row of the term ``EVERY`` for each document, so statistics need no other scan.
+
+    Of rows with the same doc_id the last write counts (``dedupe=False``: ids are unique, no text moves). With ``terms``
+    (column ``term``) only those are indexed, and other words are gone before anything is shuffled.
     """
-    words = _once(docs, text_col, dedupe).select("doc_id", analyzed(F.col("text")).alias("terms"))
-    rows = words.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    rows = docs.select("doc_id", F.col(text_col).alias("text"), *([order] if order else []))
+    rows = last_written(rows, order=order) if dedupe else rows
+    words = rows.select("doc_id", analyzed(F.col("text")).alias("terms"))
+    rows = words.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode(F.concat("terms", F.array(F.lit(EVERY)))).alias("term"))
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        every = docs.sparkSession.range(1).select(F.lit(EVERY).alias("term"))
+        rows = rows.join(_bounded(terms.select("term").unionByName(every).distinct()), "term", "left_semi")
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def document_stats(docs: DataFrame, text_col: str = "text", dedupe: bool = True) -> DataFrame:
+def document_stats(index: DataFrame) -> DataFrame:
     """One row: number of documents and mean length."""
-    n = F.regexp_count(F.lower(tx.blank(F.col("text"))), F.lit(r"[\p{L}\p{N}_]+"))
-    return _once(docs, text_col, dedupe).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avg_len"))
+    return index.where(F.col("term") == EVERY).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, dedupe: bool = True) -> DataFrame:
+    """RET-01 without a standing index: the postings of the queries' words are made in one pass over the texts and written once."""
+    terms = queries.select(F.explode(analyzed(F.col("text"))).alias("term"))
+    return bm25(queries, shared.cut(postings(docs, terms=terms, dedupe=dedupe), "postings"), k)
 
 
-def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int = TOP_K) -> DataFrame:
-    """RET-01, WIN-01: top k by BM25 of ``query_id, text`` over postings. Only postings of query terms are joined."""
+def bm25(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
+    """RET-01, WIN-01: top k by BM25 of ``query_id, text`` over postings. Only postings of query terms are read by the join."""
     asked = queries.select("query_id", F.explode(analyzed(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sent = F.broadcast if asked.count() <= FEW_WORDS else lambda df: df
+    df = index.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = document_stats(index)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    parts = used.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).withColumn("w", weight)  # stats is one row
-    scores = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 4).alias("score"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "query_id", "avg_len", (F.col("qtf") * idf * (K1 + 1)).alias("w"))  # stats is one row
+    part = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
+    scores = index.join(sent(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
     return ranked(scores, k)
 
 
+def containing(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """JN-10: ``query_id, parent_id`` of every document of ``parent_id, body`` that contains the passage of ``query_id, passage``.
+
+    A passage is looked up by its longest inner word, one that the passage itself bounds on both sides: any body with the
+    passage has it as a whole word. Passages without such a word are tried against each body, some hundreds a scan. Nulls
+    contain nothing and are in nothing; an empty passage is in every text.
+    """
+    word = r"[\p{L}\p{N}_]+"
+    inner = F.regexp_extract_all("passage", F.lit(rf"(?<=[^\p{{L}}\p{{N}}_]){word}(?=[^\p{{L}}\p{{N}}_])"), F.lit(0))
+    asked = passages.select("query_id", "passage", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("key"))
+    asked = shared.cut(asked.where("passage is not null"), "passages")
+    keyed, others = asked.where("key is not null"), asked.where("key is null").drop("key")
+    found = F.array_distinct(F.regexp_extract_all("body", F.lit(word), F.lit(0)))
+    keys = [r.key for r in keyed.select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    if not keys:
+        out = None
+    elif len(keys) <= FEW_KEYS:  # other words are gone before texts are copied for each of them
+        among = ", ".join(f"'{k}'" for k in keys)
+        hits = docs.withColumn("_found", found).select("parent_id", "body", F.expr(f"filter(_found, w -> w in ({among}))").alias("_keys")).where(F.size("_keys") > 0)
+        out = hits.select("parent_id", "body", F.explode("_keys").alias("key")).join(_bounded(keyed), "key")
+    else:
+        words = docs.select("parent_id", F.explode(found).alias("key"))
+        out = words.join(keyed, "key").join(docs, "parent_id")
+    out = None if out is None else out.where(F.contains("body", F.col("passage"))).select("query_id", "parent_id")
+    blocks = -(-others.count() // FEW_PASSAGES)
+    for block in range(blocks):
+        part = others.where(F.pmod(F.xxhash64("query_id", "passage"), F.lit(blocks)) == block)
+        tried = docs.join(F.broadcast(part), F.contains(docs["body"], part["passage"])).select("query_id", "parent_id")
+        out = tried if out is None else out.unionByName(tried)
+    return asked.join(docs, F.lit(False)).select("query_id", "parent_id") if out is None else out.distinct()
+
+
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     """WIN-01, TOP-01: ranks from 1 by score, then doc_id; the first k. Sorted out before the shuffle where k is given."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -70,41 +128,65 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     """RET-02: exact cosine top k of ``query_id, embedding`` over ``doc_id, embedding``.
 
-    Queries come block by block; every partition of vectors keeps its own best k per query, so k rows a query and
-    partition are shuffled. Rounded to 6 digits. Zero vectors have similarity 0. Filter ``vectors`` first for RET-08.
+    Up to ``QUERIES`` queries are sent out for one scan; every partition of vectors keeps its own best k a query, so k rows
+    a query and partition are shuffled. Rounded to 6 digits. Zero vectors have similarity 0. Filter ``vectors`` first for
+    RET-08.
     """
     spark = queries.sparkSession
-    count = queries.count()
+    rows = queries.select("query_id", "embedding")
+    scans = max(1, -(-queries.count() // QUERIES))
     out = None
-    for block in range(max(1, -(-count // QUERY_BLOCK))):
-        part = queries if count <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-count // QUERY_BLOCK))) == block)
-        rows = part.select("query_id", "embedding").toPandas()
-        found = vectors.select("doc_id", "embedding").mapInPandas(_nearest(spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"]))), k), "query_id long, doc_id long, score double")
+    for scan in range(scans):
+        part = (rows if scans == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == scan)).toArrow()
+        asked = spark.sparkContext.broadcast((part.column(0).to_numpy(), _unit(part.column(1).combine_chunks())))
+        found = vectors.select("doc_id", "embedding").mapInArrow(_nearest(asked, k), "query_id long, doc_id long, score double")
         out = found if out is None else out.unionByName(found)
     return ranked(out, k)
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    m = np.array([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1, n)
-
-
-def _nearest(shared, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        best = None
+def _unit(column: pa.Array) -> np.ndarray:
+    """Rows of length 1 (or 0) of a list column; null is a zero vector."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if n else np.zeros(0, int)
+    m = np.zeros((n, int(lengths.max()) if n else 1))
+    known = lengths == m.shape[1]
+    if not known[lengths > 0].all():
+        raise ValueError("vectors differ in length")
+    if known.any():
+        m[known] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, m.shape[1])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1, length)
+
+
+def _nearest(shared_queries, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared_queries.value
+        single = q.astype(np.float32)
+        best = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.int64))  # query's place, score, doc_id
         for b in batches:
-            if not len(b) or not len(ids):
+            if not b.num_rows or not len(ids):
                 continue
-            scores = np.round(q @ _unit(b["embedding"]).T, 6) + 0.0
-            docs = np.broadcast_to(b["doc_id"].to_numpy(), scores.shape)
-            if best is not None:
-                scores, docs = np.concatenate([best[0], scores], axis=1), np.concatenate([best[1], docs], axis=1)
-            order = np.lexsort((docs, -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
-        if best is not None:
-            yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "doc_id": best[1].ravel(), "score": best[0].ravel()})
+            docs, v = b.column(0).to_numpy(zero_copy_only=False), _unit(b.column(1))
+            if v.shape[1] != q.shape[1]:
+                raise ValueError("vectors differ in length from the queries'")
+            near = v.astype(np.float32).T
+            parts = [best]
+            for first in range(0, len(q), QUERY_BLOCK):
+                rough = single[first : first + QUERY_BLOCK] @ near
+                # single precision is off by far less than the margin: what can be among the best is scored exactly
+                kth = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else rough.min(axis=1)
+                row, col = np.nonzero(rough >= kth[:, None] - 1e-4)
+                exact = np.concatenate([np.einsum("ij,ij->i", q[first + row[i : i + 65536]], v[col[i : i + 65536]]) for i in range(0, len(row), 65536)])
+                parts.append((first + row, np.round(exact, 6) + 0.0, docs[col]))
+            place, score, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((doc, -score, place))
+            place = place[order]
+            nth = np.arange(len(place)) - np.searchsorted(place, place)
+            order = order[nth < k]
+            best = tuple(np.concatenate(x)[order] for x in zip(*parts, strict=True))
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -148,11 +230,61 @@ def dedupe_parents(ranking: DataFrame, k: int = TOP_K) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(again).cast("long")).where(F.col("rank") <= k)
 
 
+#: A model: (texts, kind of text) to one vector a text.
+Encoder = Callable[[list[str], str], list[list[float]]]
+
+
 def with_prefix(c: Column, kind: str) -> Column:
     """RET-03, RET-04: ``query: `` or ``passage: `` before the text."""
     return F.concat(F.lit(f"{kind}: "), tx.blank(c))
 
 
+def encoded(rows: DataFrame, text_col: str, encode: Encoder, kind: str, batch: int = 64, prefix: str = "", as_col: str = "embedding") -> DataFrame:
+    """RET-03: ``rows`` with the vectors that a model gives for prefixed texts, ``batch`` texts at a call; null texts are empty.
+
+    A worker calls the model, so it is loaded where ``encode`` first needs it.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(as_col, T.ArrayType(T.FloatType()))])
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [prefix + (t or "") for t in b.column(at).to_pylist()]
+            vectors = [v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch], kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*b.schema.names, as_col])
+
+    return rows.mapInArrow(run, schema)
+
+
+def hashed_words(dimensions: int = 64) -> Encoder:
+    """A model that needs no download: signed counts of hashed words. It stands in where none is given."""
+
+    def encode(texts: list[str], kind: str) -> list[list[float]]:
+        import zlib
+
+        out = np.zeros((len(texts), dimensions), np.float32)
+        for i, text in enumerate(texts):
+            for word in text.lower().split():
+                h = zlib.crc32(word.encode())
+                out[i, h % dimensions] += 1 if h & 0x8000_0000 else -1
+        return out.tolist()
+
+    return encode
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES, weights: dict[str, float] | None = None, keep: Column | None = None) -> DataFrame:
+    """RET-06, RET-07, RET-08: BM25 and vectors over the same documents, ``candidates`` of each, fused to k.
+
+    ``queries``: query_id, text, embedding; ``docs``: doc_id, text and metadata; ``vectors``: doc_id, embedding and the same
+    metadata. ``keep`` filters both sides before they are ranked.
+    """
+    if keep is not None:
+        docs, vectors = docs.where(keep), vectors.where(keep)
+    lexical = search(queries.select("query_id", "text"), docs, candidates, dedupe=False)
+    near = vector_topk(queries.select("query_id", "embedding"), vectors, candidates)
+    return fuse({"bm25": lexical, "vector": near}, k, weights=weights)
+
+
 def citations(contexts: DataFrame) -> DataFrame:
     """RET-09, SET-04: ``query_id, citations``: distinct (parent, page label) of ranked contexts, in rank order."""
     label = F.when(F.col("page_start") == F.col("page_end"), F.col("page_start").cast("string")).otherwise(F.concat_ws("-", "page_start", "page_end"))

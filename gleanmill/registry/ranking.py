@@ -16,19 +16,14 @@ def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def bm25_over(docs, asked, k=10):
-    terms = asked.select(F.explode(rt.analyzed(F.col("text"))).alias("term"))
-    return rt.bm25(asked, rt.postings(docs, terms=terms, dedupe=False), rt.document_stats(docs, dedupe=False), k)
-
-
-def _bm25(source: str, name: str, k: int, text: str = "text", id_: str = "doc_id") -> str:
+def _bm25(source: str, name: str, k: int, text: str = "text", id_: str = "doc_id", asked: str = "benchmark") -> str:
     words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
     return rf"""
 {name}_t AS (SELECT {id_} AS doc_id, {words.format(text)} AS w FROM {source}),
 {name}_p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM {name}_t) GROUP BY ALL),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
 {name}_s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {name}_t),
-{name}_q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({words.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+{name}_q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({words.format('text')}) AS term FROM {asked}) GROUP BY ALL),
 {name}_r AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
   FROM {name}_q JOIN {name}_p USING (term) JOIN {name}_df USING (term), {name}_s GROUP BY ALL),
 {name} AS (SELECT query_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_r QUALIFY rank <= {k})"""
@@ -37,7 +32,7 @@ def _bm25(source: str, name: str, k: int, text: str = "text", id_: str = "doc_id
 @query(f"WITH {_bm25('documents', 'b', 10)} SELECT * FROM b")
 def bm25_topk(spark, sf):
     """RET-01, WIN-01."""
-    return bm25_over(table(spark, sf, "documents"), questions(spark, sf))
+    return rt.search(questions(spark, sf), table(spark, sf, "documents"), dedupe=False)
 
 
 def vectors(spark, sf):
@@ -66,20 +61,21 @@ def vector_topk_filtered(spark, sf):
 
 
 def two_rankings(spark, sf, k=50):
-    """Vectors ranked by cosine, and by closeness of label as a stand-in for a lexical ranking over the same ids."""
-    near = rt.vector_topk(asked_vectors(spark, sf), vectors(spark, sf), k)
-    v = vectors(spark, sf).select("doc_id", "label")
-    q = asked_vectors(spark, sf).select("query_id", F.col("label").alias("q"))
-    same = q.join(v, F.col("q") == F.col("label")).select("query_id", "doc_id", (1 / (1 + F.abs(F.col("doc_id") - F.col("query_id")))).alias("score"))
-    return rt.ranked(same, k), near
+    """BM25 and vectors over the same documents: those that have a vector. Questions are passages, with the vector of their id."""
+    v = vectors(spark, sf)
+    asked = questions(spark, sf).join(F.broadcast(v.select(F.col("doc_id").alias("query_id"), "embedding")), "query_id") if v.count() <= rt.FEW_WORDS else questions(spark, sf).join(v.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id")
+    docs = table(spark, sf, "documents")
+    known = docs.join(v.select("doc_id"), "doc_id", "left_semi")
+    return rt.search(asked.select("query_id", "text"), known, k, dedupe=False), rt.vector_topk(asked.select("query_id", "embedding"), v.join(docs.select("doc_id"), "doc_id", "left_semi"), k)
 
 
-_LEXICAL = """x AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 / (1 + abs(v.vec_id - q.vec_id)) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 / (1 + abs(v.vec_id - q.vec_id)) DESC, v.vec_id) AS rank
-FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 25 = 0 QUALIFY rank <= 50)"""
+_HYBRID = f"""known AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), {_bm25('known', 'x', 50, asked='(SELECT * FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings))')},
+v_s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM documents)),
+v AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v_s QUALIFY rank <= 50)"""
 
 
 @query(
-    f"""WITH {_vector('v', 50)}, {_LEXICAL},
+    f"""WITH {_HYBRID},
 u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s, rank AS seen FROM x UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank), 1000000 + rank FROM v),
 f AS (SELECT query_id, doc_id, round(sum(s), 9)::DOUBLE AS score, min(seen) AS seen FROM u GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM f QUALIFY rank <= 10"""
@@ -91,7 +87,7 @@ def rrf_hybrid(spark, sf):
 
 
 @query(
-    f"""WITH {_vector('v', 50)}, {_LEXICAL}, w AS (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS w),
+    f"""WITH {_HYBRID}, w AS (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS w),
 u AS (SELECT w AS bm25_weight, query_id, doc_id, w / (60 + rank) AS s, rank AS seen FROM x, w UNION ALL SELECT w, query_id, doc_id, 1.0::DOUBLE / (60 + rank), 1000000 + rank FROM v, w),
 f AS (SELECT bm25_weight, query_id, doc_id, round(sum(s), 9) AS score, min(seen) AS seen FROM u GROUP BY ALL)
 SELECT bm25_weight, query_id, doc_id, score, row_number() OVER (PARTITION BY bm25_weight, query_id ORDER BY score DESC, seen) AS rank FROM f QUALIFY rank <= 10"""
@@ -103,35 +99,28 @@ def weighted_grid(spark, sf):
 
 
 def chunk_ranking(spark, sf, k=50):
-    """BM25 over fixed chunks: the flagship path up to parent dedupe."""
+    """BM25 over fixed chunks: the flagship path up to parent dedupe. A chunk is named by its document and its number."""
     docs = table(spark, sf, "documents")
-    chunks = ck.fixed_chunks(docs).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("doc_id"), F.col("content").alias("text"))
-    ranking = bm25_over(chunks, questions(spark, sf), k)
-    return ranking.withColumn("parent_id", F.floor(F.col("doc_id") / 1000).cast("long"))
+    chunks = ck.fixed_chunks(docs).select(F.struct(F.col("doc_id").alias("parent_id"), "chunk_index").alias("doc_id"), F.col("content").alias("text"))
+    return rt.search(questions(spark, sf), chunks, k, dedupe=False).select("query_id", "doc_id.*", "score", "rank")
 
 
-_CHUNKS = f"{FIXED}, chunks AS (SELECT doc_id * 1000 + chunk_index AS doc_id, content AS text FROM fixed), {_bm25('chunks', 'c', 50)}"
-_DEDUPED = f"""{_CHUNKS}, o AS (SELECT *, doc_id // 1000 AS parent_id FROM c),
-e AS (SELECT query_id, parent_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) = 1)),
-d AS (SELECT query_id, parent_id, doc_id, score, again AS rank FROM e WHERE again <= 10)"""
+_CHUNKS = f"{FIXED}, chunks AS (SELECT {{'parent_id': doc_id, 'chunk_index': chunk_index}} AS doc_id, content AS text FROM fixed), {_bm25('chunks', 'c', 50)}"
+_DEDUPED = f"""{_CHUNKS}, o AS (SELECT query_id, doc_id.parent_id AS parent_id, doc_id.chunk_index AS chunk_index, score, rank FROM c),
+e AS (SELECT query_id, parent_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) = 1)),
+d AS (SELECT query_id, parent_id, chunk_index, score, again AS rank FROM e WHERE again <= 10)"""
 
 
-@query(f"WITH {_DEDUPED} SELECT query_id, parent_id, doc_id, score, rank FROM d")
+@query(f"WITH {_DEDUPED} SELECT query_id, parent_id, chunk_index, score, rank FROM d")
 def parent_dedupe(spark, sf):
     """WIN-02, TOP-03."""
-    return rt.dedupe_parents(chunk_ranking(spark, sf)).select("query_id", "parent_id", "doc_id", "score", "rank")
+    return rt.dedupe_parents(chunk_ranking(spark, sf)).select("query_id", "parent_id", "chunk_index", "score", "rank")
 
 
 def gold(spark, sf):
-    """JN-10: documents that contain a passage. Passages come in blocks of a bounded table that is broadcast when small."""
-    items = questions(spark, sf)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("body"), F.explode(F.array_distinct(F.transform(rt.analyzed(F.col("text")), lambda w: F.xxhash64(w)))).alias("word"))
-    # candidates by an equi-join on the passage's longest word, then the exact test
-    longest = F.array_max(F.transform(rt.analyzed(F.col("text")), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    asked = items.select("query_id", F.col("text").alias("passage"), F.xxhash64(longest).alias("word"))
-    pairs = docs.select("parent_id", "word").join(asked, "word")
-    bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("body"))
-    return pairs.join(bodies, "parent_id").where(F.contains("body", F.col("passage"))).select("query_id", "parent_id").distinct()
+    """JN-10: documents that contain a passage."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("body"))
+    return rt.containing(questions(spark, sf).withColumnRenamed("text", "passage"), docs)
 
 
 _GOLD = "gold AS (SELECT item_id AS query_id, d.doc_id AS parent_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -208,14 +197,13 @@ def percentile_interp(spark, sf):
 )
 def percentile_index(spark, sf):
     """AGG-05, AGG-06."""
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(*[mt.percentile_index(v, h).alias(n) for h, n in (("half", "p50"), ("round", "p95_round"), ("floor", "p95_floor"))])
+    return mt.pick_by_index(table(spark, sf, "events"), "event_type", "value", {"p50": "half", "p95_round": "round", "p95_floor": "floor"})
 
 
 @query(
     r"""WITH g AS (SELECT item_id, b.text AS q, d.doc_id, d.text AS e FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 o AS (SELECT *, list_distinct(regexp_extract_all(lower(q), '[0-9A-Za-z가-힣]+')) AS a, list_distinct(regexp_extract_all(lower(e), '[0-9A-Za-z가-힣]+')) AS b,
- list_distinct(list_filter(regexp_split_to_array(q, '\s+'), lambda x: length(x) > 1)) AS qa, list_distinct(list_filter(regexp_split_to_array(substr(e, 1, 400), '\s+'), lambda x: length(x) > 1)) AS qb FROM g)
+ list_distinct(list_filter(regexp_split_to_array(q, '\s+'), lambda x: length(x) > 1)) AS qa, list_distinct(list_filter(regexp_split_to_array(e, '\s+'), lambda x: length(x) > 1)) AS qb FROM g)
 SELECT item_id AS query_id, doc_id AS parent_id, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6)::DOUBLE AS office, round(CASE WHEN len(qa) = 0 OR len(qb) = 0 THEN 0.0 ELSE len(list_intersect(qa, qb)) / len(qa) END, 6)::DOUBLE AS spaces FROM o"""
 )
 def lexical_overlap(spark, sf):
@@ -236,15 +224,24 @@ def char_similarity(spark, sf):
 @query(None)
 def bootstrap_ci(spark, sf):
     """AGG-07: event values by type."""
-    return mt.bootstrap(table(spark, sf, "events").where("value is not null"), "event_type", "value", 200)
+    return mt.bootstrap(table(spark, sf, "events").where("value is not null"), "event_type", "value")
 
 
-@query(None)
+@query(
+    f"""WITH {_bm25('documents', 'b', 5)}, {_GOLD},
+c AS (SELECT query_id, string_agg('parent_doc_id=' || doc_id || ', pages=1', chr(10) ORDER BY rank) AS cited, list(doc_id::VARCHAR ORDER BY doc_id) AS ids FROM b GROUP BY query_id),
+a AS (SELECT q.item_id AS query_id, 'According to the context: ' || trim(regexp_extract(q.text, '(?s)(?:.*Question: )?(.*)', 1), chr(10) || ' ') || CASE WHEN cited <> '' THEN chr(10) || chr(10) || '근거:' || chr(10) || cited ELSE '' END AS answer, coalesce(ids, []) AS ids FROM benchmark q LEFT JOIN c ON c.query_id = q.item_id),
+g AS (SELECT query_id, list(parent_id::VARCHAR ORDER BY parent_id) AS golds FROM gold GROUP BY query_id)
+SELECT a.query_id, answer, (len(list_filter(ids, lambda x: contains(answer, x))) > 0)::INT::DOUBLE AS cites_context, (contains(answer, '확인할 수 없습니다') OR contains(answer, '확인할 수는 없습니다') OR contains(answer, '근거가 부족'))::INT::DOUBLE AS unsupported_answer, (trim(answer) <> '')::INT::DOUBLE AS non_empty,
+ (len(list_intersect(ids, coalesce(golds, []))) > 0)::INT::DOUBLE AS gold_in_context, (coalesce(golds[1], '') <> '' AND contains(answer, coalesce(golds[1], '')))::INT::DOUBLE AS cites_gold, length(answer) AS answer_chars FROM a LEFT JOIN g ON a.query_id = g.query_id"""
+)
 def rag_mock(spark, sf):
-    """RET-09, RET-10, MET-10, MET-12: mock answers over the five best documents, judged."""
-    top = bm25_topk(spark, sf).where("rank <= 5").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    """RET-09, RET-10, MET-10, MET-12, SET-04: mock answers over the five best documents, judged."""
+    asked = questions(spark, sf)
+    top = rt.search(asked, table(spark, sf, "documents"), 5, dedupe=False).join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     ctx = top.select("query_id", F.col("doc_id").alias("parent_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", "content")
-    told = rt.answer(questions(spark, sf).select("query_id", F.col("text").alias("question")), ctx)
-    ids = ctx.groupBy("query_id").agg(F.array_sort(F.collect_list("parent_id")).alias("ids"))
-    rows = told.join(ids, "query_id", "left")
-    return rows.select("query_id", "answer", *[c.alias(n) for n, c in mt.grounded(F.col("answer"), F.col("ids")).items()])
+    told = rt.answer(asked.select("query_id", F.col("text").alias("question")), ctx)
+    named = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("parent_id"))).alias(name))
+    rows = told.join(named(ctx, "ids"), "query_id", "left").join(named(gold(spark, sf), "golds"), "query_id", "left")
+    ids, golds = (F.coalesce(c, F.array().cast("array<bigint>")) for c in ("ids", "golds"))
+    return rows.select("query_id", "answer", *[c.alias(n) for n, c in mt.grounded(F.col("answer"), ids, golds).items()])
