@@ -52,6 +52,7 @@ def break_ratio(text: Column) -> Column:
 
 def strip_inline(line: Column, citations: bool) -> Column:
     """FN-21: links, addresses, tags and markers become spaces."""
+    # The patterns of citations.
     for pattern in (URL, DOI, EMAIL, HTML_TAG, BRACKET_MARKER):
         line = F.regexp_replace(line, pattern, " ")
     if citations:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entities that are unescaped, in this order (the ampersand last).
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 # Enumerations of tickets and logs.
 PRIORITIES = ["low", "medium", "high", "critical"]
 TICKET_TYPES = ["incident", "request", "problem", "question"]
@@ -32,6 +31,7 @@ QUERY_PATTERNS = {
     "symptom": r"(?i)\b(issue|problem|error|failed|failure|crash|halted|timeout|loss|leakage|inaccuracies)\b",
     "entity": r"\b([A-Z][A-Za-z0-9+.-]{2,}(?:\s+[A-Z][A-Za-z0-9+.-]{2,}){0,3}|[A-Za-z]+\d{2,4})\b",
 }
+# Signs of broken text, and the patterns of tokens and words.
 MOJIBAKE = ["�", "媛", "쒕", "뿉", "???"]
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 WORDS = r"[0-9A-Za-z가-힣]+"
@@ -47,8 +47,37 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(blank(c), r"\s+", " "))
 
 
+#: Names of HTML 4 with their characters; a no-break space is a space here.
+_NAMES = {f"{name};": chr(code) if code != 160 else " " for name, code in name2codepoint.items()} | {"apos;": "'"}
+#: Names that also stand without a semicolon.
+_LOOSE = {name: c for name, c in ((n, html5[n]) for n in html5 if not n.endswith(";"))} | {"nbsp": " "}
+_CHARACTER = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)|[^&]+|&"
+
+
+def _map(values: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in values.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def unescape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, blank(c))
+    """Character references as characters: names of HTML 4 (the old ones without a semicolon, too) and numbers.
+
+    Only texts with an ampersand are looked at.
+    """
+    names, loose = _map(_NAMES), _map(_LOOSE)
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_replace(x, "[^0-9A-Fa-f]", "")
+        n = F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        return F.when(bad, "\ufffd").when(n == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(x: Column) -> Column:
+        name = F.substring(x, 2, 40)
+        prefixes = [F.concat(F.try_element_at(loose, F.substring(name, 1, n)), F.substring(name, n + 1, 40)) for n in range(6, 1, -1)]
+        return F.when(~x.startswith("&") | (F.length(x) < 3), x).when(x.startswith("&#"), number(x)).otherwise(F.coalesce(F.try_element_at(names, name), *prefixes, x))
+
+    text = blank(c)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_CHARACTER), F.lit(0)), one), "")).otherwise(text)
 
 
 def clean_text(c: Column) -> Column:

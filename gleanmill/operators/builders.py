@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import metrics as mt
 from . import questions as qs
 from .documents import validation_query
 
@@ -40,7 +41,8 @@ LOW_OVERLAP_QUESTIONS = {
 PROTOCOLS = ("balanced", "section_balanced", "hard_negative", "low_overlap", "late_evidence")
 
 
-def _by(key: Column, values: dict[str, str], default: str) -> Column:
+def by_kind(key: Column, values: dict[str, str], default: str) -> Column:
+    """FN-36: the template of a kind."""
     out = F.lit(values[default])
     for k, v in values.items():
         out = F.when(key == k, v).otherwise(out)
@@ -65,7 +67,7 @@ def golden_candidates(docs: DataFrame, pages: DataFrame, limit: int = 300, seed:
     rows = chosen.withColumn("i", F.row_number().over(Window.orderBy("nth", "document_type")) - 1)
     kinds = F.array(*[F.lit(k) for k in FALLBACK_QUESTIONS])
     rows = rows.withColumn("question_type", F.element_at(kinds, (F.col("i") % 6 + 1).cast("int"))).withColumn("evidence_text", tx.evidence_segment(F.trim("p.content")))
-    rows = rows.withColumn("question", _by(F.col("question_type"), FALLBACK_QUESTIONS, "summary"))
+    rows = rows.withColumn("question", by_kind(F.col("question_type"), FALLBACK_QUESTIONS, "summary"))
     negatives = qs.group_negatives(docs, ["document_type", "publisher"]).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "negative_id"))), lambda x: x["negative_id"].cast("string")).alias("hard_negative_doc_ids"))
     return rows.join(negatives, "doc_id", "left").select(
         F.format_string("office_q_%04d", F.col("i") + 1).alias("question_id"),
@@ -109,7 +111,7 @@ def section_rows(docs: DataFrame, sections: DataFrame, least: int = 240, negativ
     rows = found.join(docs.select("doc_id", "title", "page_count"), "doc_id").join(mined, "doc_id", "left").withColumn("question_type", kind)
     rows = rows.select(
         "doc_id",
-        F.concat(F.lit("For "), topic, F.lit(", "), _by(F.col("question_type"), TOPIC_QUESTIONS, "section")).alias("question"),
+        F.concat(F.lit("For "), topic, F.lit(", "), by_kind(F.col("question_type"), TOPIC_QUESTIONS, "section")).alias("question"),
         F.substring("evidence_text", 1, 360).alias("reference_answer"),
         F.array(F.col("doc_id").cast("string")).alias("gold_doc_ids"),
         F.sequence(F.col("page_start").cast("int"), F.greatest("page_start", "page_end").cast("int")).alias("gold_pages"),
@@ -144,17 +146,17 @@ def protocol(candidates: DataFrame, name: str, limit: int = 120) -> DataFrame:
         raise ValueError(f"unknown protocol: {name}")
     rows = candidates.withColumn("n_negatives", F.size("hard_negative_doc_ids"))
     order = qs.protocol_order(name)
-    # no more than the best candidates of each type or section can be taken
-    by = "gold_section" if name == "section_balanced" else "question_type"
-    groups = 7 if by == "gold_section" else 6
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order, "section_index"))
-    few = rows.withColumn("_n", nth).where(F.col("_n") <= limit * (groups + 1)).drop("_n")
-    placed = few.withColumn("pos", F.row_number().over(Window.orderBy(*order, "section_index")).cast("long"))
-    chosen = qs.select_balanced(placed, limit, by, groups)
+    by, kinds = ("gold_section", qs.SECTION_ORDER) if name == "section_balanced" else ("question_type", list(qs.QUOTAS))
+    # of each document and kind the first candidate, of each kind so many as can be taken: only these are numbered in one task
+    first = F.row_number().over(Window.partitionBy(by, "doc_id").orderBy(*order, "section_index"))
+    few = F.row_number().over(Window.partitionBy(by).orderBy(*order, "section_index"))
+    rows = rows.withColumn("_n", first).where("_n = 1").withColumn("_n", few).where(F.col("_n") <= 2 * limit).drop("_n")
+    placed = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order, "section_index")).cast("long"))
+    chosen = qs.select_balanced(placed, limit, by, kinds)
     numbered = chosen.withColumn("n", F.row_number().over(Window.orderBy("pos"))).withColumn("question_id", F.format_string(f"{name}_%04d", "n")).withColumn("qaset_protocol", F.lit(name))
     if name == "low_overlap":
         pages = F.format_string(" Use pages %d-%d. Item %d.", F.array_min("gold_pages"), F.array_max("gold_pages"), F.col("n"))
-        numbered = numbered.withColumn("question", F.concat(_by(F.col("question_type"), LOW_OVERLAP_QUESTIONS, "section"), pages))
+        numbered = numbered.withColumn("question", F.concat(by_kind(F.col("question_type"), LOW_OVERLAP_QUESTIONS, "section"), pages))
     return refreshed(numbered).drop("pos", "n", "n_negatives")
 
 
@@ -187,48 +189,100 @@ def parsing_evaluation(oracle: DataFrame, parsed: DataFrame) -> DataFrame:
     return rows.join(parsed.select("doc_id", "page_num", tx.for_matching(F.col("text")).alias("parsed")), ["doc_id", "page_num"], "left").withColumn("parsed", F.coalesce("parsed", F.lit("")))
 
 
+def parsing_scores(oracle: DataFrame, parsed: DataFrame) -> DataFrame:
+    """AGG-15: a row for each oracle page with text: character scores, duplicate ratio and whether anything was extracted."""
+    rows = parsing_evaluation(oracle, parsed).where("oracle <> ''")
+    rows = rows.withColumn("m", mt.char_similarity(F.col("parsed"), F.col("oracle"))).withColumn("d", mt.duplicate_ngrams(F.col("parsed")))
+    figures = {"parsed_chars": F.length("parsed"), "gold_chars": F.length("oracle"), "character_precision": F.col("m.precision"), "character_recall": F.col("m.recall"), "normalized_edit_similarity": F.col("m.similarity")}
+    return rows.select("doc_id", "page_num", *[c.alias(n) for n, c in figures.items()], F.col("d").alias("duplicate_ratio"), (F.trim("parsed") != "").cast("double").alias("page_extracted"))
+
+
+def parsing_summary(oracle: DataFrame, parsed: DataFrame) -> DataFrame:
+    """AGG-15: one row: oracle pages, skipped ones (without text), documents, and the means of the pages' scores."""
+    skipped = oracle.agg(F.count_if(tx.for_matching(F.col("text")) == "").alias("skipped_pages"))
+    names = ["character_precision", "character_recall", "normalized_edit_similarity", "duplicate_ratio", "page_extracted"]
+    means = [F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c) for c in names]
+    return parsing_scores(oracle, parsed).agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("doc_id").alias("documents"), *means).crossJoin(F.broadcast(skipped))  # one row each
+
+
+def reconstruction_summary(rows: DataFrame) -> DataFrame:
+    """AGG-12: by profile: rows, mean noise and sentence breaks before and after, preserved elements in all.
+
+    ``rows``: profile, noise_score_before, noise_score_after, sentence_boundary_break_before, sentence_boundary_break_after,
+    preserved_element_count; missing figures count as 0.
+    """
+    mean = lambda c: F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 6)
+    return rows.groupBy("profile").agg(
+        F.count(F.lit(1)).alias("rows"),
+        mean("noise_score_before").alias("avg_noise_before"),
+        mean("noise_score_after").alias("avg_noise_after"),
+        mean("sentence_boundary_break_before").alias("avg_sentence_break_before"),
+        mean("sentence_boundary_break_after").alias("avg_sentence_break_after"),
+        F.coalesce(F.sum(F.col("preserved_element_count").cast("long")), F.lit(0)).alias("preserved_elements"),
+    )
+
+
 def answer_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """AGG-16: means of answer metrics and latency percentiles; zeros for no rows."""
     return rows.agg(F.count(F.lit(1)).alias("questions"), *[F.coalesce(F.round(F.avg(m), 6), F.lit(0.0)).alias(m) for m in metrics], *[F.coalesce(F.percentile("latency_ms", F.lit(p)), F.lit(0.0)).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))])
 
 
 def length_audit(units: DataFrame, most: int = 512) -> DataFrame:
-    """AGG-13: token lengths by ``unit`` of ``unit, text``."""
-    n = units.select("unit", tx.token_count(F.col("text")).alias("n"))
-    return n.groupBy("unit").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("min"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.95)).alias("p95"), F.max("n").alias("max"), F.count_if(F.col("n") > most).alias("over"))
+    """AGG-13: token lengths by ``unit`` of ``unit, text``; percentiles are values picked by index (AGG-05, AGG-06)."""
+    n = units.select("unit", tx.token_count(F.col("text")).cast("long").alias("n"))
+    over = F.count_if(F.col("n") > most)
+    figures = n.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("n").alias("min"), F.round(F.avg("n"), 3).alias("mean"), F.max("n").alias("max"), over.alias("over"), F.round(over / F.count(F.lit(1)), 6).alias("over_ratio")
+    )
+    return figures.join(mt.pick_by_index(n, "unit", "n", {"p50": "half", "p95": "floor"}), "unit")
 
 
 # ---- windows of a model's tokenizer
 
 
+def _fitting(decode, count, ids: list[int], budget: int) -> str:
+    """The text of the longest beginning of ``ids`` that takes no more than ``budget`` ids when it is encoded again.
+
+    Almost always that is all of ``ids``. Else the end is found by halving, and by single steps beside it, as a text's
+    number of ids can fall by one where it is cut.
+    """
+    text = decode(ids).strip()
+    if count(text) <= budget:
+        return text
+    fits, over = 0, len(ids)
+    while over - fits > 1:
+        middle = (fits + over) // 2
+        fits, over = (middle, over) if count(decode(ids[:middle]).strip()) <= budget else (fits, middle)
+    for more in range(min(fits + 4, len(ids) - 1), fits, -1):
+        if count(text := decode(ids[:more]).strip()) <= budget:
+            return text
+    return decode(ids[:fits]).strip()
+
+
 def model_windows(docs: DataFrame, tokenizer_json: str, budget: int = 512, overlap: int = 64) -> DataFrame:
     """CHK-08, CHK-09: windows of a tokenizer's ids, decoded; a window whose text takes more ids than the budget is shortened.
 
-    ``tokenizer_json``: content of a tokenizer file (1 to 3 MB), which is sent with the code.
+    ``tokenizer_json``: content of a tokenizer file (1 to 3 MB), which is sent with the code. Windows lie at multiples of
+    ``budget - overlap``; the last one ends with the text. Windows without text are left out.
     """
+    step = max(budget - overlap, 1)
+
+    def spans(n: int) -> list[tuple[int, int]]:
+        last = max(0, -(-(n - budget) // step))
+        return [(k * step, min(k * step + budget, n)) for k in range(last + 1)] if n else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
-        tk = Tokenizer.from_str(tokenizer_json)
-        count = lambda t: len(tk.encode(t, add_special_tokens=False).ids)
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        encoded = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         for b in batches:
-            out = []
+            rows = []
             for doc, text in zip(b["doc_id"], b["text"].fillna(""), strict=True):
-                ids = tk.encode(text, add_special_tokens=False).ids
-                start = k = 0
-                while start < len(ids):
-                    end = min(start + budget, len(ids))
-                    part = ids[start:end]
-                    while part and count(tk.decode(part).strip()) > budget:
-                        part = part[:-1]
-                    if part:
-                        out.append((doc, k, start, end, tk.decode(part).strip()))
-                        k += 1
-                    if end == len(ids):
-                        break
-                    start = max(start + 1, end - overlap)
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "token_start", "token_end", "content"])
+                ids = encoded(text)
+                told = [(*span, _fitting(tokenizer.decode, lambda t: len(encoded(t)), ids[slice(*span)], budget)) for span in spans(len(ids))]
+                rows += [(doc, k, *window) for k, window in enumerate(w for w in told if w[2])]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "token_start", "token_end", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, token_start long, token_end long, content string")
 

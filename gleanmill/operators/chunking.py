@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +95,13 @@ def page_ranges(pages: DataFrame) -> DataFrame:
     return pages.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + n)
 
 
+def with_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """JN-02: documents with ``pages``, an ordered array of (page_num, text), empty where there are none."""
+    page = F.struct("page_num", "text")
+    grouped = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))  # a document's own pages
+    return docs.join(grouped, "doc_id", "left").withColumn("pages", F.when(F.col("pages").isNull(), F.array().cast(grouped.schema["pages"].dataType)).otherwise(F.col("pages")))
+
+
 def pages_of_chunks(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
     """CHK-04, JN-09: first and last page that a chunk's ``start, end`` overlaps, 0 if none."""
     met = chunks.alias("c").join(ranges.select("doc_id", "page_num", "char_start", "char_end").alias("r"), (F.col("c.doc_id") == F.col("r.doc_id")) & (F.col("r.char_end") > F.col("c.start")) & (F.col("r.char_start") < F.col("c.end")), "left")
@@ -136,31 +144,39 @@ _TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
 def pack_units(units: list[str], budget: int, least: int, overlap: int = 1) -> list[tuple[str, int, int, int]]:
-    """CHK-12 for one text: (text, first, end, tokens) of chunks of whole units; oversized units are cut in windows."""
-    counts = [len(_TOKENS.findall(u)) for u in units]
-    out, i = [], 0
-    while i < len(units):
-        if counts[i] > budget:
-            spans = [m.span() for m in _TOKENS.finditer(units[i])]
-            for a in range(0, len(spans), budget):
-                part = spans[a : a + budget]
-                out.append((units[i][part[0][0] : part[-1][1]], a, a + len(part), len(part)))
-            i += 1
+    """CHK-12 for one text: (text, first, end, tokens) of chunks of whole units.
+
+    A chunk ends with the unit that brings it to ``least`` tokens, or before the one that would exceed ``budget``, or
+    before one that exceeds it alone. Both ends are looked up in the running sum of tokens. The next chunk begins
+    ``overlap`` units before a chunk's end. A unit above the budget is cut into windows of its own tokens.
+    """
+    counts = np.array([len(_TOKENS.findall(u)) for u in units], np.int64)
+    until = np.concatenate(([0], np.cumsum(counts)))
+    huge = np.append(np.flatnonzero(counts > budget), len(units))
+    out: list[tuple[str, int, int, int]] = []
+    first = 0
+    while first < len(units):
+        wall = int(huge[np.searchsorted(huge, first)])
+        if wall == first:
+            out += _cut_unit(units[first], budget)
+            first += 1
             continue
-        j, total = i, 0
-        while j < len(units) and total + counts[j] <= budget:
-            total += counts[j]
-            j += 1
-            if total >= least:
-                break
-        joined = "\n".join(units[i:j])
-        out.append((joined, i, j, len(_TOKENS.findall(joined))))
-        if j >= len(units):
-            break
-        i = max(i + 1, j - overlap)
+        enough = int(np.searchsorted(until, until[first] + least, "left"))
+        fits = int(np.searchsorted(until, until[first] + budget, "right")) - 1
+        end = min(max(enough, first + 1), fits, wall)
+        text = "\n".join(units[first:end])
+        out.append((text, first, end, int(until[end] - until[first])))
+        first = len(units) if end == len(units) else max(first + 1, end - overlap)
     return out
 
 
+def _cut_unit(unit: str, budget: int) -> list[tuple[str, int, int, int]]:
+    """Consecutive windows of a unit's tokens."""
+    starts, ends = np.array([m.span() for m in _TOKENS.finditer(unit)]).T
+    n = len(starts)
+    return [(unit[starts[a] : ends[min(a + budget, n) - 1]], a, min(a + budget, n), min(budget, n - a)) for a in range(0, n, budget)]
+
+
 def packed_units(rows: DataFrame, budget: int = 512, kind: str = "sentence") -> DataFrame:
     """CHK-12, CHK-13: sentence (at least budget / 2) or passage (at least 0.8 budget) chunks of ``doc_id, text``.
 
@@ -189,8 +205,8 @@ def pack_blocks(blocks: list[tuple[int, str, bool]], least: int = 350, most: int
             texts.clear()
             pages.clear()
 
-    for page, text, is_heading in blocks:
-        if not text.strip():
+    for page, text, is_heading in ((page, text.strip(), is_heading) for page, text, is_heading in blocks):
+        if not text:
             continue
         if is_heading:
             flush()

@@ -83,18 +83,38 @@ def promote(rows: DataFrame) -> DataFrame:
 def hard_negatives(docs: DataFrame, k: int = 10) -> DataFrame:
     """JN-07: ``doc_id, negative_id, score, nth``: 3 for an equal field and 1 for each common topic word, best k.
 
-    Candidates come from two equi-joins. The field's contribution needs no pair of its own beyond each document's first k
-    fellows by id: among equal scores smaller ids come first, so no other fellow without a topic word can be chosen.
+    Documents with the same field and topics form a class, and only classes look for negatives. A negative y of a class
+    with the common topics C is among the first k + 1 documents, by id, of those with at least the topics C (and the
+    class's field, if y has it): each earlier one has no smaller score and a smaller id. So each set of topics keeps
+    k + 1 documents, sorted out before the shuffle, and a class looks at the lists of the subsets of its few topics:
+    no pairs of documents are made, however common a topic is.
     """
-    topics = docs.select("doc_id", "field", F.explode(F.array_distinct("topics")).alias("topic"))
-    pairs = topics.alias("a").join(topics.alias("b"), (F.col("a.topic") == F.col("b.topic")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    common = pairs.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("negative_id")).agg(F.count(F.lit(1)).alias("common"), F.first(F.col("a.field") == F.col("b.field")).alias("same"))
-    by_topic = common.select("doc_id", "negative_id", (F.col("common") + F.when(F.col("same"), 3).otherwise(0)).alias("score"))
-    first = docs.select("field", F.col("doc_id").alias("negative_id")).withColumn("_n", F.row_number().over(Window.partitionBy("field").orderBy("negative_id"))).where(F.col("_n") <= k + 1)
-    by_field = docs.select("doc_id", "field").join(first, "field").where(F.col("doc_id") != F.col("negative_id")).select("doc_id", "negative_id", F.lit(3).cast("long").alias("score"))
-    best = by_topic.unionByName(by_field).groupBy("doc_id", "negative_id").agg(F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "negative_id")).cast("long")
-    return best.withColumn("nth", nth).where(F.col("nth") <= k)
+    topics = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("topics", F.array().cast("array<string>")))))
+    rows = docs.select("doc_id", "field", topics.alias("topics"))
+    subsets = F.expr("transform(sequence(0, cast(shiftleft(1, size(topics)) as int) - 1), m -> filter(topics, (t, i) -> (shiftright(m, i) & 1) = 1))")
+    scopes = F.array(F.struct(F.col("field").isNotNull().alias("own"), F.coalesce("field", F.lit("")).alias("scope")), F.struct(F.lit(False).alias("own"), F.lit("").alias("scope")))
+
+    def spread(of: DataFrame) -> DataFrame:
+        out = of.withColumn("subset", F.explode(subsets)).withColumn("in", F.explode(scopes)).select("*", "in.*").drop("in")
+        return out.where(F.col("own") | (F.size("subset") > 0)).withColumn("list", F.xxhash64("subset", "own", "scope")).drop("subset", "own", "scope")
+
+    first = F.row_number().over(Window.partitionBy("list").orderBy("doc_id"))
+    lists = spread(rows).withColumn("_n", first).where(F.col("_n") <= k + 1).select("list", F.col("doc_id").alias("negative_id"), F.col("field").alias("other"), F.col("topics").alias("others"))
+    classes = rows.select("field", "topics").distinct()
+    # lists are named by hashes: if two had the same name, scores would still be right
+    score = (F.when(F.coalesce(F.col("field") == F.col("other"), F.lit(False)), 3).otherwise(0) + F.size(F.array_intersect("topics", "others"))).cast("long")
+    met = spread(classes).join(lists, "list").select("field", "topics", "negative_id", score.alias("score")).where("score > 0").distinct()
+    nth = F.row_number().over(Window.partitionBy("field", "topics").orderBy(F.desc("score"), "negative_id"))
+    best = met.withColumn("_n", nth).where(F.col("_n") <= k + 1).groupBy("field", "topics").agg(F.sort_array(F.collect_list(F.struct("_n", "negative_id", "score"))).alias("best"))
+    best = best.select(F.col("field").alias("_field"), F.col("topics").alias("_topics"), "best")
+    own = rows.join(best, F.col("field").eqNullSafe(F.col("_field")) & (F.col("topics") == F.col("_topics")))
+    others = F.slice(F.filter("best", lambda x: x["negative_id"] != F.col("doc_id")), 1, k)
+    return own.select("doc_id", F.posexplode(others).alias("at", "x")).select("doc_id", "x.negative_id", "x.score", (F.col("at") + 1).cast("long").alias("nth"))
+
+
+def unanswered(questions: DataFrame, done: DataFrame, on: str = "query_id") -> DataFrame:
+    """JN-15: questions that are not in the output of an earlier run."""
+    return questions.join(done.select(on), on, "left_anti")
 
 
 def group_negatives(docs: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
@@ -136,58 +156,53 @@ def targets(limit: int, quotas: dict[str, float] = QUOTAS) -> dict[str, int]:
     return out
 
 
-def select_quota(candidates: DataFrame, limit: int, quotas: dict[str, float] = QUOTAS) -> DataFrame:
-    """TOP-06: rows by type quota, each document once, then filled up. Needs ``doc_id, question_type, section_priority``.
+def _greedy(candidates: DataFrame, limit: int, by: str, goals: dict[str, int], order: list[Column], fill_by_kind: bool) -> DataFrame:
+    """Rows kind by kind in the order of ``goals``, each up to its goal, then filled up to ``limit``; each document once.
 
-    The choice is a greedy sequence, so it is made in one task, over at most ``limit`` candidates of each type and of each
-    document (no more can matter).
+    ``order`` is the candidates' order; filling goes through it kind by kind or as a whole. A greedy choice is a sequence,
+    so it is made in one task. That task gets 2 * limit candidates of a kind at most: the first of each document, and no
+    later one can be taken, as at most ``limit`` documents are used before and ``limit`` rows picked. Rows without a
+    document are not taken.
     """
-    order = [hash_order("doc_id"), F.col("section_priority"), F.col("doc_id")]
-    one = F.row_number().over(Window.partitionBy("question_type", "doc_id").orderBy("section_priority"))
-    few = F.row_number().over(Window.partitionBy("question_type").orderBy(*order))
-    rows = candidates.withColumn("_one", one).where("_one = 1").withColumn("_nth", few).where(F.col("_nth") <= limit * (len(quotas) + 1)).drop("_one")
-    goals = targets(limit, quotas)
+    rows = candidates.where("doc_id is not null")
+    first = F.row_number().over(Window.partitionBy(by, "doc_id").orderBy(*order))
+    rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    rows = rows.withColumn("_few", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_few") <= 2 * limit).drop("_few")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_nth", kind="stable")
-        used, picked, counts = set(), [], dict.fromkeys(goals, 0)
-        for kind, goal in goals.items():
-            for i, r in g[g["question_type"] == kind].iterrows():
-                if counts[kind] >= goal:
-                    break
-                if r["doc_id"] not in used:
-                    used.add(r["doc_id"])
+        g = g.sort_values("_nth", kind="stable").reset_index(drop=True)
+        docs, used, picked = g["doc_id"].tolist(), set(), []
+        lanes: dict[str | None, list[int]] = {k: [] for k in goals}
+        for i, kind in enumerate(g[by]):
+            lanes.setdefault(kind if isinstance(kind, str) else None, []).append(i)
+
+        def take(lane: list[int], goal: int) -> None:
+            for i in lane:
+                if goal == 0 or len(picked) == limit:
+                    return
+                if docs[i] not in used:
+                    used.add(docs[i])
                     picked.append(i)
-                    counts[kind] += 1
-        for i, r in g.iterrows():
-            if len(picked) >= limit:
-                break
-            if r["doc_id"] not in used:
-                used.add(r["doc_id"])
-                picked.append(i)
+                    goal -= 1
+
+        for kind, goal in goals.items():
+            take(lanes[kind], goal)
+        for lane in lanes.values() if fill_by_kind else [range(len(g))]:
+            take(lane, limit)
         return g.loc[picked].drop(columns=["_g", "_nth"])
 
     return rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(choose, candidates.schema)
 
 
-def select_balanced(candidates: DataFrame, limit: int, by: str, groups: int) -> DataFrame:
-    """TOP-07: up to max(limit / groups, 1) rows of each value of ``by``, each document once, filled up in candidate order ``pos``."""
-    size = max(limit // groups, 1)
-    few = F.row_number().over(Window.partitionBy(by).orderBy("pos"))
-    rows = candidates.withColumn("_nth", few).where(F.col("_nth") <= limit * (groups + 1)).drop("_nth")
+def select_quota(candidates: DataFrame, limit: int, quotas: dict[str, float] = QUOTAS) -> DataFrame:
+    """TOP-06: rows by type quota, each document once, then filled up type by type. Needs ``doc_id, question_type, section_priority``."""
+    return _greedy(candidates, limit, "question_type", targets(limit, quotas), [hash_order("doc_id"), F.col("section_priority"), F.col("doc_id")], True)
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable")
-        used, picked, counts = set(), [], {}
-        for full in (False, True):
-            for i, r in g.iterrows():
-                if len(picked) < limit and r["doc_id"] not in used and (full or counts.get(r[by], 0) < size):
-                    used.add(r["doc_id"])
-                    picked.append(i)
-                    counts[r[by]] = counts.get(r[by], 0) + 1
-        return g.loc[picked].drop(columns=["_g"])
 
-    return rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(choose, candidates.schema)
+def select_balanced(candidates: DataFrame, limit: int, by: str, kinds: list[str]) -> DataFrame:
+    """TOP-07: up to max(limit / kinds, 1) rows of each of ``kinds`` in turn, each document once, filled up in candidate order ``pos``."""
+    return _greedy(candidates, limit, by, dict.fromkeys(kinds, max(limit // len(kinds), 1)), [F.col("pos")], False)
 
 
 def protocol_order(name: str) -> list[Column]:

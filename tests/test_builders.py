@@ -32,8 +32,10 @@ def test_selection_and_protocols(candidates):
         assert len(rows) == 3 == len({r.doc_id for r in rows}) and sorted(r.question_id for r in rows)[0] == f"{name}_0001"
     low = bd.protocol(candidates, "low_overlap", 3).collect()
     assert all("Item" in r.question and r.lexical_overlap < 0.55 for r in low)
-    late = bd.protocol(candidates, "late_evidence", 1).collect()
-    assert late[0].gold_section == "result"
+    late = bd.protocol(candidates, "late_evidence", 6).collect()  # one of each type that there is, then the latest
+    first = candidates.groupBy("question_type").agg(F.max("page_position_ratio").alias("r")).collect()
+    assert {(r.question_type, r.r) for r in first} <= {(r.question_type, r.page_position_ratio) for r in late}
+    assert [r.question_type for r in bd.protocol(candidates, "late_evidence", 1).collect()] == ["summary"]
     with pytest.raises(ValueError):
         bd.protocol(candidates, "none")
 

@@ -76,7 +76,7 @@ def test_selection(spark):
         assert sum(r.question_type == kind for r in out) == goal
     few = qs.select_quota(cands.where("doc_id < 5"), 20).collect()
     assert len(few) == 5 == len({r.doc_id for r in few})
-    even = qs.select_balanced(cands, 12, "gold_section", 6).collect()
+    even = qs.select_balanced(cands, 12, "gold_section", kinds).collect()
     assert len(even) == 12 == len({r.doc_id for r in even}) and {sum(r.gold_section == k for r in even) for k in kinds} == {2}
 
 
