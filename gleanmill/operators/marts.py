@@ -65,6 +65,11 @@ def orphans(name: str, children: DataFrame, parents: DataFrame, on: str) -> Data
     return _check(name, children.join(parents.select(on).distinct(), on, "left_anti"), F.count(F.lit(1)), "0", "FAIL")
 
 
+def without(rows: DataFrame, others: DataFrame, on: str) -> DataFrame:
+    """SET-06: distinct keys of ``rows`` that ``others`` lacks."""
+    return rows.select(on).distinct().join(others.select(on), on, "left_anti")
+
+
 def inverted_pages(name: str, chunks: DataFrame, start: str = "page_start", end: str = "page_end") -> DataFrame:
     """DQ-03: intervals that end before they start."""
     return _check(name, chunks, F.count_if(F.col(start) > F.col(end)), "0", "FAIL")
@@ -80,6 +85,56 @@ def exit_code(checks: DataFrame) -> int:
     return int(not checks.where("status = 'FAIL'").isEmpty())
 
 
+#: Rows that a report shows of a table.
+REPORT_ROWS = 500
+
+
+def _rows(df: DataFrame) -> list[str]:
+    found = df.limit(REPORT_ROWS).collect()
+    told = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    return [f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}", *[f"| {' | '.join(map(told, r))} |" for r in found]]
+
+
+def report(title: str, facts: dict, tables: dict[str, DataFrame]) -> str:
+    """SNK-06: a Markdown report: facts as a list, then tables (summaries of some rows) under their headings."""
+    lines = [f"# {title}", "", *[f"- {k}: {v:,}" if isinstance(v, int) else f"- {k}: {v}" for k, v in facts.items()], ""]
+    for heading, df in tables.items():
+        lines += [f"## {heading}", "", *_rows(df), ""]
+    return "\n".join(lines)
+
+
+def _counted(rows: DataFrame, column: str, array: bool = False) -> DataFrame:
+    values = F.explode(column) if array else F.col(column)
+    return rows.select(values.alias(column)).groupBy(column).agg(F.count(F.lit(1)).alias("questions")).orderBy(F.desc("questions"), column)
+
+
+def review_report(reviewed: DataFrame, title: str = "Review of questions") -> str:
+    """SNK-06, AGG-08: a reviewed question set: statuses, reasons of rejection and flags by their counts."""
+    tables = {"Status": _counted(reviewed, "review_status"), "Rejections": _counted(reviewed, "auto_reject_reasons", True), "Flags": _counted(reviewed, "review_flags", True)}
+    return report(title, {"Questions": reviewed.count()}, tables | ({"Difficulty": _counted(reviewed, "difficulty")} if "difficulty" in reviewed.columns else {}))
+
+
+def protocol_report(quality: DataFrame) -> str:
+    """SNK-06: quality figures of question sets by protocol (AGG-09)."""
+    return report("Quality of question sets", {"Sets": quality.count()}, {"Quality": quality.orderBy(quality.columns[0])})
+
+
+def retrieval_report(summary: DataFrame, spread: DataFrame | None = None, title: str = "Retrieval") -> str:
+    """SNK-06: retrieval summaries by group, and how far methods differ (AGG-10)."""
+    keys = [c for c in ("case_id", "method", "grp") if c in summary.columns]
+    return report(title, {"Groups": summary.count()}, {"Summary": summary.orderBy(*keys)} | ({"Spread": spread} if spread is not None else {}))
+
+
+def parsing_report(summary: DataFrame) -> str:
+    """SNK-06, AGG-15."""
+    return report("Quality of parsed pages", {k: v if isinstance(v, int) else f"{v:.4f}" for k, v in summary.first().asDict().items()}, {})
+
+
+def answer_report(summary: DataFrame) -> str:
+    """SNK-06, AGG-16."""
+    return report("Answers", {k: v if isinstance(v, int) else f"{v:.4f}" for k, v in summary.first().asDict().items()}, {})
+
+
 def markdown(checks: DataFrame) -> str:
     """SNK-06: the report of a handful of checks."""
     rows = checks.orderBy("name").collect()

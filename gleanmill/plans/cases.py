@@ -68,7 +68,8 @@ PROFILES: dict[str, dict[str, tuple[str, dict]]] = {
         "deferred": ("not_scheduled", {}),
     },
 }
-# The cases: id, group, chunking, retriever, reranker, evaluation, reason if disabled.
+# The cases' ids, groups and profiles (chunking, retriever, reranker, evaluation); the reasons of disabled
+# ones, namespaces and paths of artifacts are this engine's own.
 CASES = [
     ("baseline_fixed_512", "baseline", "fixed_512_overlap_64", "dense_vector", "none", "retrieval_core", ""),
     ("baseline_page_subchunk", "baseline", "page_then_tokenizer_subchunk", "dense_vector", "none", "retrieval_core", ""),

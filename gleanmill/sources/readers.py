@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import zipfile
 from collections.abc import Iterator
@@ -37,12 +38,26 @@ TICKET_COLUMNS: dict[str, dict[str, str | list[str]]] = {
 }
 
 
+def numbered(rows: DataFrame, name: str = "_n") -> DataFrame:
+    """Rows of a file scan with their place, from 0, in the order of file names and lines.
+
+    Rows of a split of a file follow each other in its task, so a row's place is its distance from the split's first row
+    plus the rows of earlier splits; only one count a split is shuffled.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    placed = rows.select("*", *split, F.monotonically_increasing_id().alias("_id"))
+    splits = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_offset"))  # one row a split
+    return placed.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_file", "_block", "_id", "_first", "_offset")
+
+
 def tickets(spark: SparkSession, path: str, source_dataset: str, mapping: dict[str, str | list[str]] | None = None, limit: int | None = None) -> DataFrame:
-    """SRC-03: a CSV with header through a column mapping; ids default to ``<dataset>_<n>``. ``limit`` keeps the first rows."""
+    """SRC-03: a CSV with header through a column mapping; ids default to ``<dataset>_<row>``. ``limit`` keeps the first rows."""
     mapping = mapping or TICKET_COLUMNS.get(source_dataset, TICKET_COLUMNS["default"])
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = numbered(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
     if limit:
-        raw = raw.limit(limit)
+        raw = raw.where(F.col("_n") < limit)
 
     def of(key: str) -> Column:
         c = mapping.get(key, "")
@@ -56,8 +71,7 @@ def tickets(spark: SparkSession, path: str, source_dataset: str, mapping: dict[s
         tags = tx.split_tags(of("tags"))
     text = {k: tx.clean_text(of(k)) for k in ("subject", "description", "resolution", "queue", "business_type")}
     row_id = tx.clean_text(of("ticket_id"))
-    rows = raw.withColumn("_n", F.monotonically_increasing_id())
-    return rows.select(
+    return raw.select(
         F.when(row_id != "", row_id).otherwise(F.concat(F.lit(f"{source_dataset}_"), F.col("_n").cast("string"))).alias("ticket_id"),
         F.lit(source_dataset).alias("source_dataset"),
         tx.lenient_timestamp(of("created_at")).alias("created_at"),
@@ -74,7 +88,7 @@ def logs(spark: SparkSession, path: str, source_dataset: str, system: str = "unk
     """SRC-04: lines of a log; blank ones count towards ``limit`` (0 or None: none) and are skipped afterwards."""
     lines = spark.read.text(path)
     if limit:
-        lines = lines.limit(limit)
+        lines = numbered(lines).where(F.col("_n") < limit)
     raw = F.regexp_replace("value", r"[\r\n]+$", "")
     rows = lines.select(raw.alias("raw")).where(F.trim("raw") != "")
     return rows.select(
@@ -94,34 +108,56 @@ def logs(spark: SparkSession, path: str, source_dataset: str, system: str = "unk
 _MEMBERS = "archive string, member string, file_size long, compressed_size long"
 
 
+def open_file(path: str):
+    """A file that can be read anywhere, by a path or a URI as Spark writes them."""
+    from pyarrow import fs
+
+    inner = path.removeprefix("file:")
+    if inner != path or "://" not in path:
+        return fs.LocalFileSystem().open_input_file("/" + inner.lstrip("/") if inner != path else path)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Path and size of files below a folder; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+
+
 def zip_members(spark: SparkSession, path: str, glob: str = "*.zip", suffixes: tuple[str, ...] = (".pdf",)) -> DataFrame:
-    """SRC-05, SRC-08: members of all archives below a folder; contents stay packed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    """SRC-05, SRC-08: members of all archives below a folder. Of an archive only its directory, at the end, is read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for name, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    out += [(name, i.filename, i.file_size, i.compress_size) for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(suffixes)]
-            yield pd.DataFrame(out, columns=["archive", "member", "file_size", "compressed_size"])
+            for name in b["path"]:
+                with open_file(name) as f, zipfile.ZipFile(f) as z:
+                    out = [(name, i.filename, i.file_size, i.compress_size) for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(suffixes)]
+                yield pd.DataFrame(out, columns=["archive", "member", "file_size", "compressed_size"])
 
-    return files.select("path", "content").mapInPandas(run, _MEMBERS)
+    return _files(spark, path, glob).select("path").mapInPandas(run, _MEMBERS)
 
 
 def _base(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/\\]+)$", 1)
 
 
+def _split(archive: Column) -> Column:
+    return F.when(archive.contains("Validation"), "validation").otherwise("training")
+
+
+def _kind(archive: Column) -> Column:
+    kind = F.regexp_extract(_base(archive), r"\.([^._]+)_", 1)
+    return F.when(kind != "", kind).otherwise("unknown")
+
+
 def office_inventory(spark: SparkSession, path: str, split: str | None = None, stratified: bool = False, limit: int | None = None, glob: str = "*.zip") -> DataFrame:
     """SRC-05, FN-10, TOP-04: documents of the archives; ``stratified`` takes types in turn."""
     m = zip_members(spark, path, glob)
     stem = F.regexp_replace(_base(F.col("member")), r"\.[^.]*$", "")
-    kind = F.regexp_extract(_base(F.col("archive")), r"\.([^._]+)_", 1)
     rows = m.select(
         tx.document_id(stem).alias("doc_id"),
-        F.when(F.col("archive").contains("Validation"), "validation").otherwise("training").alias("split"),
-        F.when(kind != "", kind).otherwise("unknown").alias("document_type"),
+        _split(F.col("archive")).alias("split"),
+        _kind(F.col("archive")).alias("document_type"),
         F.col("archive").alias("source_archive"),
         F.col("member").alias("source_member"),
         "file_size",
@@ -143,7 +179,7 @@ def manifest_slice(rows: DataFrame, order: str, offset: int, limit: int) -> Data
 
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """SRC-08, FN-14, FN-15: PDF and PPTX files below a folder, also inside archives; PPTX is not parsed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("source_path"), F.lit(None).cast("string").alias("zip_entry"), F.col("length").alias("size_bytes"))
+    files = _files(spark, path, "*").select(F.col("path").alias("source_path"), F.lit(None).cast("string").alias("zip_entry"), F.col("length").alias("size_bytes"))
     plain = files.where(F.lower("source_path").rlike(r"\.(pdf|pptx)$"))
     packed = zip_members(spark, path, "*.zip", (".pdf", ".pptx")).select(F.col("archive").alias("source_path"), F.col("member").alias("zip_entry"), F.col("file_size").alias("size_bytes"))
     rows = plain.unionByName(packed)
@@ -172,32 +208,42 @@ def papers(spark: SparkSession, path: str) -> DataFrame:
 _PAGES = "doc_id string, page_num int, raw_text string, parse_status string, error string"
 
 
-def paper_pages(spark: SparkSession, manifest: DataFrame, extract=None) -> DataFrame:
-    """SRC-07, SRC-09: page texts of ``doc_id, source_path, zip_entry``; a failure is a row with status ``failed``.
+def _content(path: str, entry: str | None) -> bytes:
+    """A file, or one member of an archive, whose other members are not read."""
+    with open_file(path) as f:
+        if not entry:
+            return f.read()
+        with zipfile.ZipFile(f) as z:
+            return z.read(entry)
+
 
-    ``extract(bytes) -> list of page texts`` defaults to PyMuPDF where that is installed. Files are read by Spark, by path.
+def _extracted(manifest: DataFrame, extract, schema: str) -> DataFrame:
+    """``extract(bytes) -> rows``, after the doc_id and before status and error; a failure is one row with status ``failed``.
+
+    Each file is opened by the task that has its manifest row.
     """
-    paths = [r[0] for r in manifest.select("source_path").distinct().toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], _PAGES)
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("source_path"), "content")
-    rows = manifest.select("doc_id", "source_path", "zip_entry").join(files, "source_path")
+    names = [c.split()[0] for c in schema.split(", ")]
+    empty = (None,) * (len(names) - 3)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = extract or _pymupdf
         for b in batches:
-            out = []
-            for doc, entry, content in zip(b["doc_id"], b["zip_entry"], b["content"], strict=True):
+            for doc, path, entry in zip(b["doc_id"], b["source_path"], b["zip_entry"], strict=True):
                 try:
-                    if isinstance(entry, str) and entry:
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            content = z.read(entry)
-                    out += [(doc, k, t, "parsed", "") for k, t in enumerate(read(content), 1)]
+                    out = [(doc, *row, "parsed", "") for row in extract(_content(path, entry if isinstance(entry, str) else None))]
                 except Exception as e:  # noqa: BLE001  a broken file must not end the job
-                    out.append((doc, 0, "", "failed", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["doc_id", "page_num", "raw_text", "parse_status", "error"])
+                    out = [(doc, *empty, "failed", f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(out, columns=names).astype({"page_num": "Int32"})
 
-    return rows.mapInPandas(run, _PAGES)
+    return manifest.select("doc_id", "source_path", "zip_entry").mapInPandas(run, schema)
+
+
+def paper_pages(spark: SparkSession, manifest: DataFrame, extract=None) -> DataFrame:
+    """SRC-09: page texts of ``doc_id, source_path, zip_entry``; a failure is a row with status ``failed`` and page 0.
+
+    ``extract(bytes) -> list of page texts`` defaults to PyMuPDF where that is installed.
+    """
+    pages = _extracted(manifest, lambda content: list(enumerate((extract or _pymupdf)(content), 1)), _PAGES)
+    return pages.withColumns({"page_num": F.coalesce("page_num", F.lit(0)), "raw_text": F.coalesce("raw_text", F.lit(""))})
 
 
 def _pymupdf(content: bytes) -> list[str]:
@@ -207,47 +253,159 @@ def _pymupdf(content: bytes) -> list[str]:
         return [page.get_text() for page in pdf]
 
 
+_BLOCKS = "doc_id string, page_num int, width double, height double, x0 double, y0 double, x1 double, y1 double, text string, font_size double, parse_status string, error string"
+
+
+def pdf_blocks(manifest: DataFrame, pages=None) -> DataFrame:
+    """SRC-07: text blocks with their place and largest font; ``layout`` orders and cleans them and finds titles.
+
+    ``pages(bytes)`` gives (width, height, layout) of each page, the layout as PyMuPDF's ``dict`` mode has it (the default).
+    """
+
+    def blocks(content: bytes) -> Iterator[tuple]:
+        for number, (width, height, layout) in enumerate((pages or _layouts)(content), 1):
+            for block in layout.get("blocks", []):
+                spans = [[(str(x.get("text", "")), float(x.get("size", 0.0))) for x in line.get("spans", [])] for line in block.get("lines", [])]
+                text = "\n".join(t for t in (" ".join("".join(t for t, _ in line).split()) for line in spans) if t)
+                if block.get("type") == 0 and text:
+                    yield (number, float(width), float(height), *map(float, block["bbox"]), text, max((size for line in spans for t, size in line if t.strip()), default=0.0))
+
+    return _extracted(manifest, blocks, _BLOCKS)
+
+
+def _layouts(content: bytes) -> Iterator[tuple[float, float, dict]]:
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as pdf:
+        for page in pdf:
+            yield page.rect.width, page.rect.height, page.get_text("dict")
+
+
 def parse_report(pages: DataFrame) -> DataFrame:
     """AGG-17: statuses, pages and empty pages."""
     return pages.groupBy("parse_status").agg(F.count_distinct("doc_id").alias("documents"), F.count_if(F.col("page_num") > 0).alias("pages"), F.count_if((F.col("page_num") > 0) & (F.trim("raw_text") == "")).alias("empty_pages"))
 
 
-def oracle_pages(elements: DataFrame, manifest: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """SRC-10, FN-41, JN-06: page texts from labelled elements; ``limit`` counts documents.
+_LABELS = "doc_id string, split string, document_type string, title string, publisher string, organ_type string, source_pdf string, page_num int, class_name string, x double, y double, plain_text string, visual_description string, document_description string"
 
-    An element's text is its document description (class D01, unless it is for reference only), else its plain text, else
-    the visual description. Reference-only text counts as content but not for parsing.
+
+def labelled_elements(spark: SparkSession, path: str, manifest: DataFrame | None = None, limit: int | None = None, glob: str = "*json.zip") -> DataFrame:
+    """SRC-10, JN-06: labelled elements of all JSON members of archives below a folder, of known documents where a manifest is given.
+
+    ``limit`` counts documents, the first by id.
     """
+    members = zip_members(spark, path, glob, (".json",)).select("archive", "member")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        said = lambda x, k: str(x.get(k) or "")
+        for b in batches:
+            out = []
+            for archive, names in b.groupby("archive", sort=False)["member"]:
+                with open_file(archive) as f, zipfile.ZipFile(f) as z:
+                    for name in names:
+                        record = json.loads(z.read(name).decode("utf-8-sig"))
+                        raw, source, label = (record[k] for k in ("raw_data_info", "source_data_info", "learning_data_info"))
+                        x, y = [*(label.get("bounding_box") or []), 0, 0][:2] if len(label.get("bounding_box") or []) != 1 else (label["bounding_box"][0], 0)
+                        told = [said(label, k) for k in ("plain_text", "visual_description", "document_description")]
+                        pdf = source["source_data_name_pdf"]
+                        out.append((archive, pdf, said(raw, "doc_name"), said(raw, "publisher"), said(raw, "organ_type"), int(label["page_num"]), said(label, "class_name"), float(x), float(y), *told))
+            yield pd.DataFrame(out, columns=["archive", "source_pdf", "doc_name", "publisher", "organ_type", "page_num", "class_name", "x", "y", "plain_text", "visual_description", "document_description"])
+
+    read = members.mapInPandas(run, "archive string, source_pdf string, doc_name string, publisher string, organ_type string, page_num int, class_name string, x double, y double, plain_text string, visual_description string, document_description string")
+    doc = tx.document_id(F.regexp_replace(_base(F.col("source_pdf")), r"\.[^.]*$", ""))
+    rows = read.withColumn("doc_id", doc).withColumns({"split": _split(F.col("archive")), "document_type": _kind(F.col("archive")), "title": F.when(F.col("doc_name") != "", F.col("doc_name")).otherwise(F.col("doc_id"))})
+    rows = _of_documents(rows, manifest, limit)
+    return rows.select(*[c.split()[0] for c in _LABELS.split(", ")])
+
+
+def _of_documents(rows: DataFrame, manifest: DataFrame | None, limit: int | None) -> DataFrame:
     if manifest is not None:
-        elements = elements.join(manifest.select("doc_id").distinct(), "doc_id", "left_semi")
+        rows = rows.join(manifest.select("doc_id").distinct(), "doc_id", "left_semi")
     if limit:
-        elements = elements.join(elements.select("doc_id").distinct().orderBy("doc_id").limit(limit), "doc_id", "left_semi")
-    some = lambda c: F.when(F.trim(tx.blank(F.col(c))) != "", F.col(c))
-    described = F.when(F.col("class_name") == "D01", some("document_description"))
-    reference_only = described.isNotNull() & described.contains("참고")
-    content = F.coalesce(F.when(~F.coalesce(reference_only, F.lit(False)), described), some("plain_text"), some("visual_description"), F.lit(""))
-    parsing = F.coalesce(some("plain_text"), F.lit(""))
-    rows = elements.withColumns({"content": content, "parsing": parsing})
-    joined = lambda c: F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("element_index", c))), lambda x: x[c] != ""), lambda x: x[c]), "\n")
-    return rows.groupBy("doc_id", "page_num").agg(joined("content").alias("content"), joined("parsing").alias("parsing_reference_text"))
+        rows = rows.join(rows.select("doc_id").distinct().orderBy("doc_id").limit(limit), "doc_id", "left_semi")
+    return rows
+
+
+# A description that only points at other files.
+REFERENCE_ONLY = r"^(?:\s*\[&\][^\s]+\s*)+$"
+
+
+def oracle_pages(elements: DataFrame, manifest: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """SRC-10, FN-41, JN-06: page texts from labelled elements in the order of (y, x); ``limit`` counts documents.
+
+    The first document description (class D01) is the page's text, unless it only points at other files; else the plain
+    texts of the other classes are; else the visual descriptions, which are no reference for parsing. ``elements``:
+    doc_id, page_num, class_name, x, y, plain_text, visual_description, document_description.
+    """
+    text = lambda c: tx.blank(F.col(c))
+    place = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("y", "x")]
+    told = F.struct(place[0].alias("y"), place[1].alias("x"), text("class_name").alias("kind"), text("plain_text").alias("plain"), text("visual_description").alias("visual"), text("document_description").alias("described"))
+    pages = _of_documents(elements, manifest, limit).groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(told)).alias("e"))  # a page's elements
+    first = F.coalesce(F.get(F.filter("e", lambda x: (x["kind"] == "D01") & (x["described"] != "")), 0)["described"], F.lit(""))
+    joined = lambda keep, field: F.array_join(F.transform(F.filter("e", keep), lambda x: x[field]), "\n")
+    plain, visual = joined(lambda x: (x["plain"] != "") & (x["kind"] != "D01"), "plain"), joined(lambda x: x["visual"] != "", "visual")
+    described = (first != "") & ~F.trim(first).rlike(REFERENCE_ONLY)
+    kind = F.when(described, "document_description").when(plain != "", "plain_text").when(visual != "", "visual_description").otherwise("empty")
+    rows = pages.select("doc_id", "page_num", first.alias("d"), plain.alias("p"), visual.alias("v"), kind.alias("oracle_text_type"))
+    by = lambda of_visual: F.when(F.col("oracle_text_type") == "document_description", F.col("d")).when(F.col("oracle_text_type") == "plain_text", F.col("p")).otherwise(of_visual)
+    return rows.select("doc_id", "page_num", by(F.col("v")).alias("content"), by(F.lit("")).alias("parsing_reference_text"), "oracle_text_type")
+
+
+def oracle_documents(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """SRC-10: a row for each document: its title and metadata, and the texts of its pages in order."""
+    text = F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("page_num", "content"))), lambda p: p["content"] != ""), lambda p: p["content"]), "\n\n")
+    bodies = pages.groupBy("doc_id").agg(text.alias("content"), F.count(F.lit(1)).alias("page_count"))
+    named = ["title", "split", "document_type", "publisher", "organ_type", "source_pdf"]
+    return elements.groupBy("doc_id").agg(F.min(F.struct(*named)).alias("m")).select("doc_id", "m.*").join(bodies, "doc_id")
 
 
 @dataclass
 class Settings:
-    """SRC-11: settings of a run; an explicit ``data_root`` beats the environment."""
+    """SRC-11: settings of a run."""
 
     data_root: str = ""
     top_k: int = 10
     candidate_k: int = 50
     rrf_k: int = 60
+    model_name: str = ""
+    batch_size: int = 64
+    document_prefix: str = ""
+    query_prefix: str = ""
+    search_field: str = "content"
+    provider: str = "mock"
     extra: dict = field(default_factory=dict)
 
 
-def load_settings(values: dict | None = None, env: dict[str, str] | None = None) -> Settings:
-    values, env = dict(values or {}), os.environ if env is None else env
-    root = values.pop("data_root", "") or env.get("DATA_ROOT", "")
-    known = {k: int(env.get(k.upper(), values.pop(k, getattr(Settings, k)))) for k in ("top_k", "candidate_k", "rrf_k")}
-    return Settings(root, **known, extra=values)
+# Environment variables that beat a file's values.
+ENVIRONMENT = {"model_name": "EMBEDDING_MODEL", "batch_size": "EMBEDDING_BATCH_SIZE", "document_prefix": "EMBEDDING_DOCUMENT_PREFIX", "query_prefix": "EMBEDDING_QUERY_PREFIX", "provider": "LLM_PROVIDER"}
+
+
+def load_settings(values: dict | str | None = None, env: dict[str, str] | None = None) -> Settings:
+    """SRC-11: settings from a YAML file (a missing one is empty) or plain values, in sections or not.
+
+    The environment beats them, but for an explicit ``data_root``. What is not a setting is kept in ``extra``.
+    """
+    if isinstance(values, str):
+        values = _yaml(values)
+    env = os.environ if env is None else env
+    flat = {k: v for key, value in (values or {}).items() for k, v in (value.items() if isinstance(value, dict) else [(key, value)])}
+    out = Settings(str(flat.pop("data_root", "") or env.get("DATA_ROOT", "")))
+    for name, kind in Settings.__annotations__.items():
+        if name not in ("data_root", "extra"):
+            value = env.get(ENVIRONMENT.get(name, name.upper())) or flat.pop(name, getattr(out, name))
+            flat.pop(name, None)
+            setattr(out, name, int(value) if kind == "int" else str(value))
+    out.extra = flat
+    return out
+
+
+def _yaml(path: str) -> dict:
+    import yaml
+
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
 
 
 def sample(df: DataFrame, rows: int = 5) -> dict:

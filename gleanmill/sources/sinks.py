@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import time
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators import retrieval as rt
 from . import readers
 
 
@@ -42,22 +44,47 @@ def to_lake(spark: SparkSession, sources: dict[str, str], out: str, schemas: dic
     return counts
 
 
-def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """SNK-03: CSV with header; arrays joined by semicolons. Appending adds files, each with its header."""
-    flat = [F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("append" if append else "overwrite").option("header", True).csv(path)
+def _flat(df: DataFrame) -> DataFrame:
+    """Arrays joined by semicolons."""
+    return df.select(*[F.array_join(F.col(f"`{c}`").cast("array<string>"), ";").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def write_vectors(df: DataFrame, path: str, partitions: str = "chunking_strategy") -> None:
-    """SNK-04: the vector table keyed by doc_id (last write wins), one folder a strategy."""
-    rows = df.dropDuplicates(["doc_id"])
+def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    """SNK-03: CSV files with header, of any size; arrays joined by semicolons. Appending adds files, each with its header."""
+    _flat(df).write.mode("append" if append else "overwrite").option("header", True).csv(path)
+
+
+def write_table(df: DataFrame, path: str, append: bool = False, most: int = 100_000) -> int:
+    """SNK-03: a report table as one CSV file with byte order mark and one header, also when rows are appended to it.
+
+    Such tables are summaries; more than ``most`` rows are an error, as they pass through the driver.
+    """
+    rows = _flat(df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: use write_csv")
+    fresh = not (append and os.path.exists(path) and os.path.getsize(path))
+    with open(path, "w" if fresh else "a", encoding="utf-8-sig" if fresh else "utf-8", newline="") as f:
+        out = csv.writer(f)
+        if fresh:
+            out.writerow(df.columns)
+        out.writerows(["" if v is None else v for v in r] for r in rows)
+    return len(rows)
+
+
+def write_vectors(df: DataFrame, path: str, partitions: str = "chunking_strategy", order: str | None = None, encode: rt.Encoder | None = None, batch: int = 64) -> None:
+    """SNK-04: the vector table keyed by doc_id, one folder a strategy; of rows with the same id the last write stays.
+
+    With ``encode``, the vectors are made here from ``embedding_text``, in batches.
+    """
+    rows = rt.last_written(df, order=order)
+    if encode is not None:
+        rows = rt.encoded(rows, "embedding_text", encode, "document", batch)
     (rows.write.partitionBy(partitions) if partitions in df.columns else rows.write).mode("overwrite").parquet(path)
 
 
-def write_postings(index: DataFrame, stats: DataFrame, path: str) -> None:
-    """SNK-05: postings sorted by term, so that a term's scan reads few row groups, and the one row of statistics."""
+def write_postings(index: DataFrame, path: str) -> None:
+    """SNK-05: postings sorted by term, so that a term's scan reads few row groups. All documents' rows have the empty term."""
     index.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def now() -> str:

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from gleanmill.operators import layout
 from gleanmill.operators import marts as mr
 from gleanmill.plans import cases, catalog
 from gleanmill.sources import readers, schemas, sinks
@@ -69,13 +70,92 @@ def test_papers(spark, tmp_path):
 
 
 def test_oracle_pages(spark):
-    rows = [("d", 1, 0, "D01", "plain", "", "described"), ("d", 1, 1, "D01", "", "seen", "참고 only"), ("e", 1, 0, "T", "text", "", "")]
-    df = spark.createDataFrame(rows, "doc_id string, page_num int, element_index int, class_name string, plain_text string, visual_description string, document_description string")
-    out = {r.doc_id: r for r in readers.oracle_pages(df).collect()}
-    assert out["d"].content == "described\nseen" and out["d"].parsing_reference_text == "plain"
+    rows = [("d", 1, "T", 5.0, "plain", "", ""), ("d", 1, "D01", 9.0, "no", "seen", "described"), ("d", 1, "D01", 1.0, "", "", "")]
+    rows += [("e", 1, "D01", 1.0, "", "", " [&]a.json [&]b.json"), ("e", 1, "T", 3.0, "second", "", ""), ("e", 1, "T", 2.0, "first", "", "")]
+    rows += [("f", 1, "T", 1.0, "", "a view", ""), ("f", 2, "T", None, None, None, None)]
+    df = spark.createDataFrame([(*r[:3], 0.0, *r[3:]) for r in rows], "doc_id string, page_num int, class_name string, x double, y double, plain_text string, visual_description string, document_description string")
+    out = {(r.doc_id, r.page_num): (r.content, r.parsing_reference_text, r.oracle_text_type) for r in readers.oracle_pages(df).collect()}
+    assert out["d", 1] == ("described", "described", "document_description") and out["e", 1] == ("first\nsecond", "first\nsecond", "plain_text")
+    assert out["f", 1] == ("a view", "", "visual_description") and out["f", 2] == ("", "", "empty")
     assert readers.oracle_pages(df, df.where("doc_id = 'e'")).count() == 1 and readers.oracle_pages(df, limit=1).count() == 1
 
 
+def test_label_archives(spark, tmp_path):
+    os.makedirs(tmp_path / "Validation")
+
+    def record(doc, page, kind, text, box=(0, 0, 1, 1), title=""):
+        return json.dumps({"raw_data_info": {"doc_name": title, "publisher": "P"}, "source_data_info": {"source_data_name_pdf": doc + ".pdf"}, "learning_data_info": {"page_num": page, "class_name": kind, "bounding_box": box, "plain_text": text}})
+
+    with zipfile.ZipFile(tmp_path / "Validation" / "VL_01.report_json.zip", "w") as z:
+        z.writestr("1.json", "\ufeff" + record("OC2_1_A_1", 1, "T", "below", [0, 9, 1, 1], "A title"))
+        z.writestr("2.json", record("OC2_1_A_1", 1, "T", "above", [0, 1, 1, 1], "A title"))
+        z.writestr("3.json", record("OC2_1_A_1", 2, "T", "next page", None, "A title"))
+        z.writestr("4.json", record("OC2_1_B_2", 1, "T", "other"))
+        z.writestr("note.txt", "x")
+    e = readers.labelled_elements(spark, str(tmp_path))
+    docs = {r.doc_id: r for r in readers.oracle_documents(e, readers.oracle_pages(e)).collect()}
+    assert docs["OC2_1_A_1"].content == "above\nbelow\n\nnext page" and docs["OC2_1_A_1"].title == "A title" and docs["OC2_1_A_1"].page_count == 2
+    assert (docs["OC2_1_B_2"].title, docs["OC2_1_B_2"].split, docs["OC2_1_B_2"].document_type) == ("OC2_1_B_2", "validation", "report")
+    assert readers.labelled_elements(spark, str(tmp_path), limit=1).select("doc_id").distinct().count() == 1
+    assert readers.labelled_elements(spark, str(tmp_path), spark.createDataFrame([("OC2_1_B_2",)], "doc_id string")).count() == 1
+
+
+def test_blocks(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"ok")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+
+    def layouts(content):
+        if content == b"bad":
+            raise ValueError("no pdf")
+        spans = lambda *x: [{"spans": [{"text": t, "size": s} for t, s in x]}]
+        yield 600, 800, {"blocks": [{"type": 1, "bbox": (0, 0, 1, 1)}, {"type": 0, "bbox": (0, 0, 9, 9), "lines": spans(("A ", 9), ("title", 20)) + spans((" ", 99))}, {"type": 0, "bbox": (0, 20, 9, 29), "lines": spans((" ", 5))}]}
+        yield 600, 800, {"blocks": [{"type": 0, "bbox": (0, 0, 9, 9), "lines": spans(("Second", 20))}]}
+
+    m = spark.createDataFrame([("a", str(tmp_path / "a.pdf"), None), ("b", f"file:{tmp_path}/b.pdf", None), ("c", str(tmp_path / "none.pdf"), None)], "doc_id string, source_path string, zip_entry string")
+    rows = readers.pdf_blocks(m, layouts)
+    got = sorted((r.doc_id, r.page_num, r.text, r.font_size, r.parse_status) for r in rows.where("parse_status = 'parsed'").collect())
+    assert got == [("a", 1, "A title", 20.0, "parsed"), ("a", 2, "Second", 20.0, "parsed")]
+    assert {r.doc_id: r.error.split(":")[0] for r in rows.where("parse_status = 'failed'").collect()} == {"b": "ValueError", "c": "FileNotFoundError"}
+    assert layout.page_title(rows).collect()[0].title == "A title"
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    for name, lines in (("b", 5000), ("a", 3), ("c", 0), ("d", 700)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(lines)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.numbered(spark.read.text(str(tmp_path))).orderBy("_n").collect()
+            assert [r._n for r in rows] == list(range(5703)) and [r.value for r in rows] == [f"{n}{i}" for n, k in (("a", 3), ("b", 5000), ("d", 700)) for i in range(k)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as f:
+        f.write("id,subject\n" + "".join(f'{i if i % 2 else ""},"s {i}\nmore"\n' for i in range(9)))
+    out = readers.tickets(spark, path, "x", {"ticket_id": "id", "subject": "subject"}, limit=5)
+    assert sorted((r.ticket_id, r.subject) for r in out.collect()) == sorted((str(i) if i % 2 else f"x_{i}", f"s {i} more") for i in range(5))
+
+
+def test_settings(tmp_path):
+    path = str(tmp_path / "c.yaml")
+    with open(path, "w") as f:
+        f.write("embedding:\n  model_name: m\n  batch_size: 8\nretrieval:\n  top_k: 3\nother: 1\n")
+    s = readers.load_settings(path, {"DATA_ROOT": "/d", "EMBEDDING_MODEL": "n", "LLM_PROVIDER": "p"})
+    assert (s.data_root, s.model_name, s.batch_size, s.top_k, s.provider, s.extra) == ("/d", "n", 8, 3, "p", {"other": 1})
+    assert readers.load_settings(str(tmp_path / "none.yaml"), {}).top_k == 10
+
+
+def test_report_tables(spark, tmp_path):
+    path = str(tmp_path / "r.csv")
+    df = spark.createDataFrame([("a", ["x", "y"], None)], "n string, xs array<string>, v double")
+    assert sinks.write_table(df, path) == 1 and sinks.write_table(df, path, append=True) == 1
+    with open(path, "rb") as f:
+        assert f.read() == b"\xef\xbb\xbfn,xs,v\r\na,x;y,\r\na,x;y,\r\n"
+    with pytest.raises(ValueError):
+        sinks.write_table(df.unionByName(df), path, most=1)
+
+
 def test_json_lines_and_lake(spark, tmp_path):
     path = str(tmp_path / "a.jsonl")
     with open(path, "w") as f:
@@ -98,9 +178,11 @@ def test_json_lines_and_lake(spark, tmp_path):
 
 
 def test_indexes(spark, tmp_path):
-    df = spark.createDataFrame([("a", "page", [1.0]), ("a", "page", [2.0]), ("b", "fixed", [3.0])], "doc_id string, chunking_strategy string, embedding array<float>")
-    sinks.write_vectors(df, str(tmp_path / "v"))
-    assert spark.read.parquet(str(tmp_path / "v")).count() == 2 and os.path.isdir(tmp_path / "v" / "chunking_strategy=page")
+    df = spark.createDataFrame([("a", "page", [1.0], 2), ("a", "page", [2.0], 1), ("b", "fixed", [3.0], 1)], "doc_id string, chunking_strategy string, embedding array<float>, at int")
+    sinks.write_vectors(df, str(tmp_path / "v"), order="at")
+    assert {r.doc_id: r.embedding for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"a": [1.0], "b": [3.0]} and os.path.isdir(tmp_path / "v" / "chunking_strategy=page")
+    sinks.write_vectors(df.coalesce(1), str(tmp_path / "w"))  # without an order the one that arrives last
+    assert {r.doc_id: r.embedding for r in spark.read.parquet(str(tmp_path / "w")).collect()} == {"a": [2.0], "b": [3.0]}
 
 
 def test_run_records(tmp_path):
@@ -159,7 +241,11 @@ def test_catalog(spark, tmp_path):
     rows = catalog.catalog(spark, projects)
     assert [(r.entries, r.missing) for r in catalog.counters(rows).collect()] == [(2, 1)]
     assert catalog.register(spark, projects) == ["p_d"] and spark.table("p_d").count() == 1
-    assert "d.jsonl" in catalog.page(rows)
+    found = catalog.model(spark, projects, {"p": [{"question": "q</script>"}]})
+    assert [(a["exists"], a["records"], a["fields"], a["samples"]) for a in found["datasets"]] == [(True, 1, ["x"], [{"x": 1}]), (False, 0, [], [])]
+    assert found["summary"]["artifacts_by_scope"] == {"datasets": 2}
+    page = catalog.dashboard(found, "A <b>")
+    assert "d.jsonl" in page and "A &lt;b&gt;" in page and "q</script>" not in page
     with pytest.raises(ValueError):
         catalog.load(values * 2)
 
