@@ -82,24 +82,32 @@ def lines_with_headings(spark, sf):
     return rows.select("doc_id", F.floor(F.col("i") / 10).cast("int").alias("page_num"), F.col("i").alias("line_no"), F.when(F.length("t") < 40, heads).otherwise(F.col("t")).alias("line"))
 
 
-@query(
+SECTION_ISLANDS = (
     """
-WITH l AS (SELECT doc_id, i - 1 AS i, CASE WHEN length(l[i]) < 40 THEN ['Abstract', '1. Introduction', '2. Method', 'result of tests', 'References'][(i - 1) % 5 + 1] ELSE l[i] END AS line
-           FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+l AS (SELECT doc_id, i - 1 AS i, CASE WHEN length(l[i]) < 40 THEN ['Abstract', '1. Introduction', '2. Method', 'result of tests', 'References'][(i - 1) % 5 + 1] ELSE l[i] END AS line
+      FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
 k AS (SELECT *, CASE """
     + " ".join(f"WHEN regexp_matches(trim(line, ' '), '(?i){p[:-2]}($|[^\\p{{L}}\\p{{N}}_])') THEN '{t}'" for t, p in tx.SECTION_PATTERNS)
     + """ END AS kind FROM l),
-g AS (SELECT *, count(kind) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM k)
-SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY island) - 1)::BIGINT AS section_index, coalesce(arg_min(kind, i) FILTER (WHERE kind IS NOT NULL), 'body') AS section_type,
-       coalesce(substr(arg_min(line, i) FILTER (WHERE kind IS NOT NULL), 1, 180), 'body') AS section_title, (min(i) // 10)::INT AS page_start, (max(i) // 10)::INT AS page_end, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5
-FROM g GROUP BY doc_id, island"""
+g AS (SELECT *, count(kind) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM k),
+islands AS (SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY island) - 1)::BIGINT AS section_index, coalesce(arg_min(kind, i) FILTER (WHERE kind IS NOT NULL), 'body') AS section_type,
+       coalesce(substr(arg_min(line, i) FILTER (WHERE kind IS NOT NULL), 1, 180), 'body') AS section_title, (min(i) // 10)::INT AS page_start, (max(i) // 10)::INT AS page_end, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM g GROUP BY doc_id, island)"""
 )
+
+
+@query(f"WITH {SECTION_ISLANDS} SELECT * EXCLUDE (text), md5(text) AS text_md5 FROM islands")
 def section_islands(spark, sf):
-    """CHK-15, WIN-05."""
+    """CHK-15, WIN-05, FN-16."""
     return ck.sections(lines_with_headings(spark, sf)).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-@query(None)
+@query(
+    rf"""WITH {SECTION_ISLANDS}, p AS (SELECT doc_id, section_index, {_TOKENS} AS p FROM islands),
+w AS (SELECT *, len(p) AS n, unnest(range(0, greatest(ceil((len(p) - 128) / 112.0), 0)::BIGINT + 1)) AS k FROM p WHERE len(p) > 0)
+SELECT doc_id, section_index, (k * 112)::BIGINT AS token_start, least(k * 112 + 128, n)::BIGINT AS token_end, md5(regexp_replace(array_to_string(p[k * 112 + 1 : least(k * 112 + 128, n)], ''), '^\s+', '')) AS content,
+ row_number() OVER (PARTITION BY doc_id ORDER BY section_index, k) - 1 AS chunk_index FROM w"""
+)
 def section_chunks(spark, sf):
     """CHK-10, JN-01, WIN-08: windows inside sections, numbered on through a document."""
     found = ck.sections(lines_with_headings(spark, sf))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import chunking as ck
 from ..operators import marts as mr
 from ..operators import questions as qs
 from .base import query, table
+from .chunks import FIXED
 from .ranking import gold
 
 
@@ -120,7 +122,7 @@ def hash_sample(spark, sf):
 
 
 @query(
-    "WITH g AS (SELECT DISTINCT d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT doc_id, doc_id AS parent_id, g.doc_id IS NOT NULL AS is_gold FROM documents d LEFT JOIN g USING (doc_id) ORDER BY (g.doc_id IS NULL), doc_id LIMIT 100"
+    "WITH g AS (SELECT DISTINCT d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT doc_id, doc_id AS parent_id, g.doc_id IS NOT NULL AS is_gold FROM documents d LEFT JOIN g USING (doc_id) ORDER BY (g.doc_id IS NULL), doc_id LIMIT greatest(10000, (SELECT count(*) FROM g))"
 )
 def eval_subset(spark, sf):
     """TOP-11, JN-14: all gold, filled up to the reference's 10,000."""
@@ -139,16 +141,32 @@ def section_candidates(spark, sf):
     )
 
 
-@query(None)
+def _listed(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+_SECTIONS = f"""s AS (SELECT doc_id, {_listed(qs.QUOTAS)}[doc_id % 6 + 1] AS question_type, {_listed(qs.SECTION_ORDER)}[doc_id % 7 + 1] AS gold_section, doc_id % 7 AS section_priority, doc_id AS pos FROM documents)"""
+_GOALS = "(VALUES " + ", ".join(f"('{t}', {n}, {i})" for i, (t, n) in enumerate(qs.targets(60).items())) + ") g(question_type, goal, place)"
+
+
+@query(
+    f"""WITH {_SECTIONS}, o AS (SELECT s.*, goal, place, row_number() OVER (PARTITION BY question_type ORDER BY md5(doc_id || '42')) AS n FROM s JOIN {_GOALS} USING (question_type)),
+r AS (SELECT *, row_number() OVER (ORDER BY n > goal, place, n) AS taken FROM o)
+SELECT doc_id, question_type, gold_section, section_priority, pos FROM r WHERE taken <= 60"""
+)
 def quota_select(spark, sf):
-    """TOP-06."""
+    """TOP-06: documents have one type each here, so the greedy choice is a ranking."""
     return qs.select_quota(section_candidates(spark, sf), 60)
 
 
-@query(None)
+@query(
+    f"""WITH {_SECTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY gold_section ORDER BY pos) AS n FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY n > 6, CASE WHEN n <= 6 THEN list_position({_listed(qs.SECTION_ORDER)}, gold_section) END, pos) AS taken FROM o)
+SELECT doc_id, question_type, gold_section, section_priority, pos FROM r WHERE taken <= 45"""
+)
 def balanced_select(spark, sf):
-    """TOP-07."""
-    return qs.select_balanced(section_candidates(spark, sf), 42, "gold_section", 7)
+    """TOP-07: six of each section, then three more in the candidates' order."""
+    return qs.select_balanced(section_candidates(spark, sf), 45, "gold_section", qs.SECTION_ORDER)
 
 
 @query(
@@ -167,7 +185,7 @@ def protocol_orders(spark, sf):
 
 @query(
     """SELECT 'orders_have_customers' AS name, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*)::VARCHAR AS observed, '0' AS expected FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT 'lines_have_orders', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*)::VARCHAR, '0' FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderkey % 100 <> 7)
+UNION ALL SELECT 'lines_have_orders', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*)::VARCHAR, '0' FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
 UNION ALL SELECT 'line_keys', CASE WHEN count(*) - count(DISTINCT (l_orderkey, l_linenumber)) = 0 THEN 'PASS' ELSE 'FAIL' END, (count(*) - count(DISTINCT (l_orderkey, l_linenumber)))::VARCHAR, '0' FROM lineitem
 UNION ALL SELECT 'empty_texts', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*)::VARCHAR, '0' FROM documents WHERE trim(coalesce(text, '')) = ''
 UNION ALL SELECT 'labels_vs_documents', CASE WHEN (SELECT count(*) FROM labels) = (SELECT count(*) FROM documents) THEN 'PASS' ELSE 'FAIL' END, (SELECT count(*) FROM labels)::VARCHAR, (SELECT count(*) FROM documents)::VARCHAR
@@ -178,7 +196,7 @@ def dq_checks(spark, sf):
     t = lambda n: table(spark, sf, n)
     checks = [
         mr.orphans("orders_have_customers", t("orders").withColumnRenamed("o_custkey", "k"), t("customer").select(F.col("c_custkey").alias("k")), "k"),
-        mr.orphans("lines_have_orders", t("lineitem").withColumnRenamed("l_orderkey", "k"), t("orders").where("o_orderkey % 100 <> 7").select(F.col("o_orderkey").alias("k")), "k"),
+        mr.orphans("lines_have_orders", t("lineitem").withColumnRenamed("l_orderkey", "k"), t("orders").select(F.col("o_orderkey").alias("k")), "k"),
         mr.duplicates("line_keys", t("lineitem"), ["l_orderkey", "l_linenumber"]),
         mr.empty_content("empty_texts", t("documents"), "text"),
         mr.same_count("labels_vs_documents", t("labels"), t("documents")),
@@ -215,13 +233,13 @@ def fact_parse_quality(spark, sf):
     return mr.fact_parse_quality(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("title"), F.col("text").alias("content"), meta.alias("metadata")))
 
 
-@query("SELECT doc_id, doc_id AS parent_doc_id, 'page' AS chunking_strategy, 1::INT AS page_start, 1::INT AS page_end, length(text) AS content_chars FROM documents UNION ALL SELECT doc_id + 1000000, doc_id, 'structure', NULL, NULL, length(substr(text, 1, 100)) FROM documents")
+@query(f"WITH {FIXED} SELECT doc_id, doc_id AS parent_doc_id, 'page' AS chunking_strategy, 1::INT AS page_start, 1::INT AS page_end, length(coalesce(text, '')) AS content_chars FROM documents UNION ALL SELECT chunk_index, doc_id, 'fixed', NULL, NULL, length(content) FROM fixed")
 def fact_chunk_quality(spark, sf):
-    """MART-03, SET-01."""
+    """MART-03, SET-01: whole texts as pages, and their fixed chunks."""
     d = table(spark, sf, "documents")
     page = d.select("doc_id", F.col("doc_id").alias("parent_doc_id"), F.lit("page").alias("chunking_strategy"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("text").alias("content"))
-    other = d.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.col("doc_id").alias("parent_doc_id"), F.lit("structure").alias("chunking_strategy"), F.substring("text", 1, 100).alias("content"))
-    return mr.fact_chunk_quality(page, other)
+    fixed = ck.fixed_chunks(d).select(F.col("chunk_index").alias("doc_id"), F.col("doc_id").alias("parent_doc_id"), F.lit("fixed").alias("chunking_strategy"), "content")
+    return mr.fact_chunk_quality(page, fixed)
 
 
 @query(
@@ -234,15 +252,3 @@ def lineage_links(spark, sf):
     first = gold(spark, sf).groupBy("query_id").agg(F.min("parent_id").alias("doc_id"))
     rows = first.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("query_id", "doc_id", F.array_join(F.transform(F.slice(F.split("text", "\n", -1), 1, 3), lambda x: F.length(x).cast("string")), ",").alias("first_lines"))
-
-
-@query("SELECT max(r) AS max_recall, min(r) AS min_recall, max(r) - min(r) AS spread, round(avg(r), 6)::DOUBLE AS mean_recall, round(avg(m), 6)::DOUBLE AS mean_mrr, 0.5::DOUBLE AS bm25_vector_gap FROM (VALUES (0.25::DOUBLE, 0.5::DOUBLE), (0.75::DOUBLE, 0.25::DOUBLE)) t(r, m)")
-def retrieval_discrimination(spark, sf):
-    """AGG-10 over a summary of two methods."""
-    rows = spark.range(3).select(
-        F.element_at(F.array(F.lit("vector"), F.lit("bm25"), F.lit("bm25")), (F.col("id") + 1).cast("int")).alias("method"),
-        F.element_at(F.array(F.lit("overall"), F.lit("overall"), F.lit("type1")), (F.col("id") + 1).cast("int")).alias("grp"),
-        F.element_at(F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9)), (F.col("id") + 1).cast("int")).alias("recall_at_10"),
-        F.element_at(F.array(F.lit(0.5), F.lit(0.25), F.lit(0.9)), (F.col("id") + 1).cast("int")).alias("mrr"),
-    )
-    return qs.discrimination(rows)

@@ -10,11 +10,15 @@ from ..functions import text as tx
 from ..operators import documents as dc
 from .base import query, table
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(coalesce({0}, ''), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ')"""
+# the character references that are in the tables, one after the other; the ampersand last, with or without its semicolon
+_UNESCAPED = "coalesce({0}, '')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&middot;", "·")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_char}')"
+_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace({_UNESCAPED}, '&amp;?', '&', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
 
 
 def clean_sql(c: str) -> str:
-    return _CLEAN.format(c).replace("chr(160)", "' '")
+    return _CLEAN.format(c)
 
 
 @query(f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")
@@ -63,6 +67,17 @@ def tickets(spark, sf):
     )
 
 
+def logs(spark, sf):
+    """Events as log lines; every eleventh has no message of its own, every thirteenth nothing at all."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id")
+    word = F.when(i % 3 == 0, " ERROR ").when(i % 3 == 1, " warn ").otherwise(" note ")
+    raw = F.when(i % 13 == 0, " ").otherwise(F.concat(i.cast("string"), word, F.col("event_type")))
+    return e.select(
+        i.cast("string").alias("log_id"), F.lit("ev").alias("source_dataset"), F.lit("web").alias("system"), tx.severity(raw).alias("severity"), F.when(i % 5 == 0, "ui").otherwise("").alias("component"), F.when(i % 11 == 0, "").otherwise(F.concat(raw, F.lit(" <b>x</b>"))).alias("message"), raw.alias("raw_log")
+    )
+
+
 _TICKETS = f"""
 t AS (SELECT conv_id, arg_min(substr(text, 1, 60), turn) AS subject, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS description,
              coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS resolution,
@@ -109,17 +124,16 @@ def contextual_chunks(spark, sf):
 
 @query(
     r"""
-WITH n AS (SELECT lang, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM documents)
-SELECT lang, count(*) AS texts, min(n)::BIGINT AS min_tokens, round(avg(n), 6) AS mean_tokens, quantile_cont(n, 0.5)::DOUBLE AS p50, max(n)::BIGINT AS max_tokens,
-       count_if(n > 512)::BIGINT AS over_max, round(avg((n > 512)::INT), 6) AS over_ratio FROM n GROUP BY lang"""
+WITH n AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM documents),
+g AS (SELECT lang, list_sort(list(n)) AS l, count(*) AS c FROM n GROUP BY lang)
+SELECT lang AS unit, c AS rows, l[1]::BIGINT AS min, round(list_avg(l), 3)::DOUBLE AS mean, l[c]::BIGINT AS max, len(list_filter(l, lambda x: x > 512))::BIGINT AS over,
+       round(len(list_filter(l, lambda x: x > 512)) / c, 6)::DOUBLE AS over_ratio, l[c // 2 + 1]::BIGINT AS p50, l[floor((c - 1) * 0.95)::BIGINT + 1]::BIGINT AS p95 FROM g"""
 )
 def token_stats(spark, sf):
-    """FN-13, AGG-13."""
-    n = table(spark, sf, "documents").select("lang", tx.token_count(F.col("text")).alias("n"))
-    over = F.col("n") > 512
-    return n.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("n").alias("min_tokens"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.percentile("n", F.lit(0.5)).alias("p50"), F.max("n").alias("max_tokens"), F.count_if(over).alias("over_max"), F.round(F.avg(over.cast("int")), 6).alias("over_ratio")
-    )
+    """FN-13, AGG-13: percentiles are picked by index."""
+    from ..operators.builders import length_audit
+
+    return length_audit(table(spark, sf, "documents").select(F.col("lang").alias("unit"), "text"))
 
 
 _NOISE = {k: v for k, v in noise.PATTERNS.items()}
