@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from . import metrics as mt
 from . import questions as qs
+from . import retrieval as rt
 from .documents import validation_query
 
 # Question templates by type.
@@ -324,3 +325,61 @@ def graph_rerank(ranking: DataFrame, edges: DataFrame, weight: float = 0.5) -> D
     near = ranking.select("query_id", F.col("doc_id").alias("src"), F.col("score").alias("s")).join(both, "src").groupBy("query_id", F.col("dst").alias("doc_id")).agg(F.max("s").alias("near"))
     rows = ranking.drop("rank").join(near, ["query_id", "doc_id"], "left").withColumn("score", F.round(F.col("score") + F.lit(weight) * F.coalesce("near", F.lit(0.0)), 6)).drop("near")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long"))
+
+
+def hierarchical(ranking: DataFrame, levels: list[str], how: str = "max") -> DataFrame:
+    """RET-11: scores of the smallest units brought up level by level, from ``levels[0]`` to ``levels[-1]``: ``query_id, <last level>, score, rank``.
+
+    ``ranking`` has a column for each level. A unit of the first level has its best score, one of a higher level the best (or sum, or mean) of its parts'.
+    """
+    rows = ranking.groupBy("query_id", *levels).agg(F.max("score").alias("score"))
+    for i in range(1, len(levels)):
+        rows = rows.groupBy("query_id", *levels[i:]).agg(F.round({"max": F.max, "sum": F.sum, "mean": F.avg}[how]("score"), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), levels[-1])
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def with_parents(ranking: DataFrame, parents: DataFrame, k: int = 10) -> DataFrame:
+    """RET-11: children are searched, their parents given: the best k parents (``parent_id, content``) once each, by their best child."""
+    return rt.dedupe_parents(ranking, k).join(parents.select("parent_id", "content"), "parent_id", "left")
+
+
+def retried(questions: DataFrame, search, contents: DataFrame, least: float = 0.5, words: int = 3) -> DataFrame:
+    """RET-11: one more search for questions whose best result has too small a share of their words, with words of that result.
+
+    ``search(query_id, text)`` ranks ``query_id, doc_id, score, rank``; ``contents``: doc_id, text. The second ranking stands
+    where there was one (``retried``).
+    """
+    first = search(questions.select("query_id", "text"))
+    best = first.where("rank = 1").join(contents.withColumnRenamed("text", "_body"), "doc_id").select("query_id", "_body")
+    judged = questions.select("query_id", "text").join(best, "query_id", "left").withColumn("_share", mt.evidence_coverage(F.col("text"), F.col("_body")))
+    weak = judged.where((F.col("_share") < least) & F.col("_body").isNotNull())
+    more = weak.select("query_id", F.concat_ws(" ", "text", F.array_join(tx.topic_words(F.col("_body"), words), " ")).alias("text"))
+    again = weak.select("query_id").withColumn("_again", F.lit(True))
+    marked = first.join(again, "query_id", "left").withColumn("retried", F.coalesce("_again", F.lit(False))).drop("_again")
+    return marked.where("not retried").unionByName(search(more).withColumn("retried", F.lit(True)))
+
+
+def parameter_grid(searches: dict[str, DataFrame], gold: DataFrame, k: int = 10) -> DataFrame:
+    """RET-11: quality of rankings (``query_id, parent_id, rank, latency_ms``) that differ by a parameter: ``point, recall, mrr, latency``."""
+    out = None
+    for point, ranking in searches.items():
+        per = mt.per_question(mt.judged(ranking.where(F.col("rank") <= k), gold))
+        took = ranking.agg(F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"))
+        row = per.agg(F.round(F.avg("recall_at_10"), 6).alias("recall_at_10"), F.round(F.avg("mrr"), 6).alias("mrr")).crossJoin(F.broadcast(took)).withColumn("point", F.lit(point))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def lineage(questions: DataFrame, datasets: dict[str, DataFrame], each: int = 3) -> DataFrame:
+    """JN-13: ``query_id, doc_id`` of a question's first gold document, and by dataset up to ``each`` ids of its rows, in their order.
+
+    ``questions``: query_id, gold_doc_ids (array); datasets: doc_id, id, pos. A question without gold has a null document.
+    """
+    rows = questions.select("query_id", F.get("gold_doc_ids", 0).alias("doc_id"))
+    for name, df in datasets.items():
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+        first = df.select("doc_id", "id", "pos", nth.alias("_n")).where(F.col("_n") <= each)
+        ids = first.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col("id").cast("string").alias("id")))), lambda x: x["id"]).alias(name))
+        rows = rows.join(ids, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return rows

@@ -138,8 +138,9 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataF
     out = None
     for scan in range(scans):
         part = (rows if scans == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == scan)).toArrow()
-        asked = spark.sparkContext.broadcast((part.column(0).to_numpy(), _unit(part.column(1).combine_chunks())))
-        found = vectors.select("doc_id", "embedding").mapInArrow(_nearest(asked, k), "query_id long, doc_id long, score double")
+        asked = spark.sparkContext.broadcast((part.column(0).combine_chunks(), _unit(part.column(1).combine_chunks())))
+        kinds = T.StructType([queries.schema["query_id"], vectors.schema["doc_id"], T.StructField("score", T.DoubleType())])
+        found = vectors.select("doc_id", "embedding").mapInArrow(_nearest(asked, k), kinds)
         out = found if out is None else out.unionByName(found)
     return ranked(out, k)
 
@@ -163,15 +164,17 @@ def _nearest(shared_queries, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared_queries.value
         single = q.astype(np.float32)
-        best = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.int64))  # query's place, score, doc_id
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # query's place, score, doc_id
+        kind = None
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
-            docs, v = b.column(0).to_numpy(zero_copy_only=False), _unit(b.column(1))
+            kind, docs, v = b.column(0).type, b.column(0).to_numpy(zero_copy_only=False), _unit(b.column(1))
+            docs = docs.astype(str) if docs.dtype == object else docs
             if v.shape[1] != q.shape[1]:
                 raise ValueError("vectors differ in length from the queries'")
             near = v.astype(np.float32).T
-            parts = [best]
+            parts = [best] if len(best[0]) else []
             for first in range(0, len(q), QUERY_BLOCK):
                 rough = single[first : first + QUERY_BLOCK] @ near
                 # single precision is off by far less than the margin: what can be among the best is scored exactly
@@ -186,7 +189,7 @@ def _nearest(shared_queries, k: int):
             order = order[nth < k]
             best = tuple(np.concatenate(x)[order] for x in zip(*parts, strict=True))
         if len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best[0])), pa.array(best[2].tolist(), kind), pa.array(best[1])], names=["query_id", "doc_id", "score"])
 
     return run
 

@@ -9,8 +9,8 @@ from ..operators import chunking as ck
 from ..operators import marts as mr
 from ..operators import questions as qs
 from .base import query, table
-from .chunks import FIXED
-from .ranking import gold
+from .chunks import FIXED, PAGES, pages
+from .ranking import gold, questions
 
 
 def topic_docs(spark, sf):
@@ -243,12 +243,18 @@ def fact_chunk_quality(spark, sf):
 
 
 @query(
-    """WITH g AS (SELECT item_id, d.doc_id, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-f AS (SELECT item_id, arg_min(doc_id, doc_id) AS doc_id, arg_min(text, doc_id) AS text FROM g GROUP BY item_id)
-SELECT item_id AS query_id, doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: length(x)::VARCHAR), ',') AS first_lines FROM f"""
+    f"""WITH {PAGES}, {FIXED}, g AS (SELECT item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
+l AS (SELECT doc_id, string_agg(page_num::VARCHAR, '|' ORDER BY page_num) FILTER (WHERE page_num <= 3) AS pages FROM pg GROUP BY doc_id),
+kk AS (SELECT doc_id, string_agg(doc_id || '_' || chunk_index, '|' ORDER BY chunk_index) FILTER (WHERE chunk_index < 3) AS chunks FROM fixed GROUP BY doc_id)
+SELECT item_id AS query_id, g.doc_id, coalesce(pages, '') AS pages, coalesce(chunks, '') AS chunks FROM benchmark LEFT JOIN g USING (item_id) LEFT JOIN l ON l.doc_id = g.doc_id LEFT JOIN kk ON kk.doc_id = g.doc_id"""
 )
 def lineage_links(spark, sf):
-    """JN-13: question to its first document and up to three of its lines."""
-    first = gold(spark, sf).groupBy("query_id").agg(F.min("parent_id").alias("doc_id"))
-    rows = first.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("query_id", "doc_id", F.array_join(F.transform(F.slice(F.split("text", "\n", -1), 1, 3), lambda x: F.length(x).cast("string")), ",").alias("first_lines"))
+    """JN-13: question to its first document and up to three of its pages and chunks."""
+    from ..operators import builders as bd
+
+    found = gold(spark, sf).groupBy("query_id").agg(F.sort_array(F.collect_list("parent_id")).alias("gold_doc_ids"))
+    asked = questions(spark, sf).select("query_id").join(found, "query_id", "left").withColumn("gold_doc_ids", F.coalesce("gold_doc_ids", F.array().cast("array<bigint>")))
+    lines = pages(spark, sf).select("doc_id", F.col("page_num").alias("id"), F.col("page_num").alias("pos"))
+    chunks = ck.fixed_chunks(table(spark, sf, "documents")).select("doc_id", F.concat_ws("_", "doc_id", "chunk_index").alias("id"), F.col("chunk_index").alias("pos"))
+    out = bd.lineage(asked, {"pages": lines, "chunks": chunks})
+    return out.select("query_id", "doc_id", F.array_join("pages", "|").alias("pages"), F.array_join("chunks", "|").alias("chunks"))
