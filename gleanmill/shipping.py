@@ -35,6 +35,6 @@ SMALL_TABLE = 32 << 20
 def dealt(df: DataFrame) -> DataFrame:
     """A small table of one or a few files would be scanned by as few tasks: its rows are dealt to all cores. Others stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) * 2 > cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_TABLE:
-        return df
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_TABLE or len(df.inputFiles()) * 2 > cores:
+        return df  # the files of large tables are not listed here
     return df.repartition(cores)
