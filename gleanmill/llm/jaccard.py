@@ -1,8 +1,8 @@
 """Exact Jaccard join of documents over word shingles, in the metric space of Jaccard distance.
 
 1. Every whole text becomes its set of distinct k-word shingles (64-bit hashes). Documents with equal sets are one class.
-2. Rings: links join sets whose sizes differ by the threshold at most (the triangle inequality with the empty set), so a
-   set belongs to its ring of sizes and, near the border, to the next ring too.
+2. Rings: the common part is no larger than the smaller set and the union no smaller than the larger one, so linked sets
+   differ in size by the threshold at most. A set belongs to its ring of sizes and, near the border, to the next ring too.
 3. Regions: in a ring the hash space is cut into slices. Two linked sets differ in at most D elements, so among the
    first D + 1 slices that a set fills, one is the same in both: the slice's content acts as pivot, all sets at
    distance zero from it there form its region. (Whole documents as global pivots can't do this: unrelated documents
@@ -14,14 +14,20 @@
 5. In a region: pivots are chosen, sets go to the cell of the nearest one, and sets whose distance to another pivot is at
    most 2 eps larger are copied to its cell; cells are joined in turn, until they are small or no longer shrink. Distances
    are exact integer comparisons. Sets within eps of a pivot are linked to it; sets in one component need no comparing.
-6. Regions above a size are never gathered: batches of pivots meet all members where they are, until every set outside the
-   region's largest component has been a pivot.
+6. Regions above a size are never gathered: pivots come to all members where they are, in broadcast batches of bounded
+   size, until every set outside the region's largest component has been a pivot. Copies of one page, which link with the
+   first pivots, are so joined in one round, however many they are.
 
 No link is lost: 2 and 3 hold for every linked pair, 4 and 5 by the triangle inequality, 6 by exhaustion.
 
+Signatures are never stored: they go from the text into one shuffle, and signatures with the same few nodes become one
+before sketches are attached. Intermediate tables and shuffle files are deleted as soon as their reader has written its
+result. Of the texts, only those of candidates move (a bitmap of their ids, of bounded size, sorts out the others).
+
 A text without words (or a null one) has an empty set, which links with nothing, not even other empty ones. Copies and
 repeated rows are linked. A null id can't name a component: it has the smallest non-null id of its documents, or null.
-An empty table gives an empty result. Only the id and the text are read; other names cannot clash.
+Of rows with one id but different texts each is a document of its own. An empty table gives an empty result. Only the id
+and the text are read; other names cannot clash.
 """
 
 from __future__ import annotations
@@ -43,10 +49,12 @@ from .hashing import U64, mix
 RING = 1.4
 #: Bits of a parity sketch for each element in which linked sets may differ, and at least.
 SKETCH_BITS, LEAST_BITS = 8, 128
-#: Shingles of a region that one task may hold; larger regions stay spread out.
-REGION = 3_000_000
-#: Shingles of the pivots that a large region tries in one round.
+#: Shingles and sets of a region that one task may hold; larger regions stay spread out.
+REGION, REGION_SETS = 1_000_000, 200
+#: Shingles of the pivots that large regions try in one round, all together; so much is broadcast.
 PIVOTS = 1_000_000
+#: Signatures of up to so many nodes are told by their nodes.
+FEW = 64
 #: Cells of so many sets are compared directly.
 LEAF = 48
 #: Tables of up to so many keys are sent to all executors (about 10 MB); larger ones are shuffled.
@@ -115,103 +123,123 @@ def sketch(s: np.ndarray, rule: Rule) -> bytes:
 
 
 def _describe(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (no_id, id, text) to (no_id, id, n, set_key, node, signatures, sketch).
-
-    Of copies within a task, the first has signatures and a sketch.
-    """
+    """Rows (no_id, id, text_hash, text) to (no_id, id, text_hash, n, set_key, node, sketch); of copies within a task, the first has a sketch."""
     seen: set[bytes] = set()
     for batch in batches:
-        for first, sets in _sets(batch.column(2), rule):
+        for first, sets in _sets(batch.column(3), rule):
             keys = [_set_key(s) if len(s) else b"" for s in sets]
-            found, counts, sketches = [], [], []
+            sketches = []
             for s, key in zip(sets, keys, strict=True):
-                own = np.zeros(0, U64)
-                if len(s) and key not in seen:
+                fresh = rule.most_changes(len(s)) > 0 and key not in seen  # smaller sets link to equal ones only
+                if fresh:
                     seen.add(key)
-                    own = signatures(s, rule)
-                found.append(own)
-                counts.append(len(own))
-                sketches.append(sketch(s, rule) if len(own) else None)
+                sketches.append(sketch(s, rule) if fresh else None)
             if len(seen) > 500_000:
                 seen.clear()
-            bounds = np.concatenate(([0], np.cumsum(counts)))
             part = batch.slice(first, len(sets))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array([int.from_bytes(k[:8], "big", signed=True) if k else 0 for k in keys], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(found).view(np.int64))),
-                    pa.array(sketches, pa.binary()),
-                ],
-                names=["no_id", "id", "n", "set_key", "node", "signatures", "sketch"],
-            )
+            nodes = [int.from_bytes(k[:8], "big", signed=True) if k else 0 for k in keys]
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *own], names=["no_id", "id", "text_hash", "n", "set_key", "node", "sketch"])
+
+
+def _sign(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text) to (signature, node); of copies within a task, the first is signed."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, sets in _sets(batch.column(0), rule):
+            found, nodes = [], []
+            for s in sets:
+                node = int.from_bytes(_set_key(s)[:8], "big", signed=True) if len(s) else 0
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    found.append(signatures(s, rule))
+                    nodes.append(node)
+            if len(seen) > 500_000:
+                seen.clear()
+            if found:
+                node = np.repeat(np.array(nodes, np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["signature", "node"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (signature, node) in order, the distinct ones whose signature has two nodes or more."""
-    held = np.zeros((0, 2), np.int64)  # the last distinct row, and whether it was given out
-    given = False
+    """Of rows (signature, node) in order, the distinct ones whose signature has two nodes or more, as (met, node).
 
-    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["signature", "node"])
+    A signature of few nodes is renamed by a hash of these, so signatures with the same nodes can be told to be one.
+    Of a signature that goes on in the next batch few rows are held; longer ones are given out as they come.
+    """
+    held = np.zeros((0, 2), np.int64)
+    given = False  # the held row belongs to a long signature, and has been given out
 
-    for batch in batches:
-        rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
-        if len(rows) < 2:
-            held = rows
-            continue
+    def told(rows: np.ndarray, last: bool) -> Iterator[np.ndarray]:
+        nonlocal held, given
         keep = np.ones(len(rows), bool)
         keep[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         rows = rows[keep]
-        same = rows[1:, 0] == rows[:-1, 0]
-        out = np.zeros(len(rows), bool)
-        out[1:] |= same
-        out[:-1] |= same
+        starts = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1))
+        sizes = np.diff(np.append(starts, len(rows)))
+        names = rows[starts, 0].copy()
+        by_nodes = np.add.reduceat(mix(rows[:, 1].view(U64) ^ U64(0x94D049BB133111EB)), starts) ^ mix(sizes.astype(U64))
+        out = sizes > 1
+        long = sizes > FEW
+        long[0] |= given
+        names[~long] = by_nodes.view(np.int64)[~long]
+        if not last and not long[-1]:
+            out[-1] = False  # held as a whole
+        mask = np.repeat(out, sizes)
         if given:
-            out[0] = False
-        given = bool(len(same) and same[-1]) or (given and len(rows) == 1)
-        held = rows[-1:]
-        if out.any():
-            yield batch_of(rows[out])
+            mask[0] = False
+        held, given = (rows[:0], False) if last else (rows[-1:], True) if long[-1] else (rows[starts[-1] :], False)
+        if mask.any():
+            yield np.stack([np.repeat(names, sizes)[mask], rows[mask, 1]], axis=1)
 
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["met", "node"])
+
+    for batch in batches:
+        rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
+        if len(rows):
+            yield from map(batch_of, told(rows, False))
+    if len(held):
+        yield from map(batch_of, told(held, True))
 
-def _fold(value: int, bits: int, to: int) -> int:
-    while bits > to:
-        bits //= 2
-        value = (value >> bits) ^ (value & ((1 << bits) - 1))
-    return value
 
+def fold(bits: np.ndarray, to: int) -> np.ndarray:
+    """Sketches of fewer bits (the last axis has words of 64): what fell on either half falls on the same bit then."""
+    while bits.shape[-1] > to:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
-class _Forest:
-    """Which nodes a task has connected so far."""
+
+class _Leaders:
+    """Sketches of a signature's leaders, one growing matrix for each number of bits."""
 
     def __init__(self):
-        self.parent: dict[int, int] = {}
+        self.nodes: dict[int, list[int]] = {}
+        self.rows: dict[int, np.ndarray] = {}
 
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(up, up)
-        return x
+    def add(self, node: int, bits: np.ndarray) -> None:
+        nodes, rows = self.nodes.setdefault(len(bits), []), self.rows.get(len(bits))
+        if rows is None or len(nodes) == len(rows):
+            more = np.zeros((max(4, len(nodes)), len(bits)), U64)
+            self.rows[len(bits)] = rows = more if rows is None else np.concatenate((rows, more))
+        rows[len(nodes)] = bits
+        nodes.append(node)
 
-    def connect(self, x: int, y: int) -> bool:
-        """False if they were connected already."""
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-        return x != y
+    def distances(self, bits: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Leaders, and how far they are at least."""
+        for size, nodes in self.nodes.items():
+            least = min(size, len(bits))
+            yield nodes, np.bitwise_count(fold(self.rows[size][: len(nodes)], least) ^ fold(bits, least)).sum(axis=1, dtype=np.int64)
 
 
 def _ties(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, node, n, sketch) in order to ties (a, b) of nodes with leaders of their signature.
+    """Rows (met, node, n, sketch) in order to ties (a, b) of nodes with leaders of their signature.
 
-    A task gives out a forest: ties between nodes that it has connected already are left out. Leaders of a signature
-    are found in the order of nodes, so most ties of a group of near copies are to the same few nodes.
+    A task gives out a forest: ties between nodes that it has connected already are left out (as far as it remembers).
+    Leaders of a signature are found in the order of nodes, so most ties of a group of near copies are to the same few nodes.
     """
-    current, leaders, forest = None, [], _Forest()
+    current, leaders, forest = None, _Leaders(), graph.Forest()
     out: list[tuple[int, int]] = []
 
     def batch_of() -> pa.RecordBatch:
@@ -220,27 +248,24 @@ def _ties(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         return found
 
     for batch in batches:
-        for signature, node, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            size, value = 8 * len(bits), int.from_bytes(bits, "big")
-            if signature != current:
-                current, leaders = signature, []
+        for met, node, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if met != current:
+                current, leaders = met, _Leaders()
+            value = np.frombuffer(bits, U64)
             own = rule.most_changes(n)
             near = own + rule.most_changes(n * rule.den // rule.num)  # a linked set is within own, its leader within its own bound
             lead = True
-            for other, other_size, other_value in leaders:
-                if size == other_size:
-                    apart = (value ^ other_value).bit_count()
-                else:
-                    least = min(size, other_size)
-                    apart = (_fold(value, size, least) ^ _fold(other_value, other_size, least)).bit_count()
-                if apart <= near:
-                    if forest.connect(node, other):
-                        out.append((node, other))
-                    lead = lead and apart > own
+            for nodes, apart in leaders.distances(value):
+                for j in np.flatnonzero(apart <= near).tolist():
+                    if forest.connect(node, nodes[j]):
+                        out.append((node, nodes[j]))
+                lead = lead and not (apart <= own).any()
             if lead:
-                leaders.append((node, size, value))
+                leaders.add(node, value)
         if len(out) > 20_000:
             yield batch_of()
+        if len(forest.parent) > 1_000_000:
+            forest.parent.clear()
     if out:
         yield batch_of()
 
@@ -330,19 +355,20 @@ class Region:
         return [self.root(x) for x in range(len(self.sizes))]
 
 
+_KEY = "no_id boolean, id long, text_hash long"
+_KEYS = ["no_id", "id", "text_hash"]
+
+
 def _load(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, set_key, region, n, no_id, id) to the same with the set itself in place of the text."""
+    """Rows (text, set_key, region, n, no_id, id, text_hash) to the same with the set itself in place of the text."""
     for batch in batches:
-        keys = batch.column(1)
         for first, sets in _sets(batch.column(0), rule):
             part = batch.slice(first, len(sets))
-            same = [len(s) > 0 and _set_key(s) == k.as_py() for s, k in zip(sets, keys.slice(first, len(sets)), strict=True)]
-            out = [pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary()), *part.columns[1:]]
-            yield pa.RecordBatch.from_arrays(out, names=["elements", *part.schema.names[1:]]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), *part.columns[1:]], names=["elements", *part.schema.names[1:]])
 
 
 def _join_regions(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (elements, set_key, region, n, no_id, id) in order of region and set_key to (set_key, no_id, id) of components."""
+    """Rows (elements, set_key, region, n, no_id, id, text_hash) in order of region and set_key to (set_key, no_id, id, text_hash) of components."""
     done: list[tuple] = []
     rows: list[tuple] = []
     current = None
@@ -359,17 +385,17 @@ def _join_regions(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         rows.clear()
 
     def batch_of() -> pa.RecordBatch:
-        out = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.binary(), pa.bool_(), pa.int64()), strict=True)]
+        out = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.binary(), pa.bool_(), pa.int64(), pa.int64()), strict=True)]
         done.clear()
-        return pa.RecordBatch.from_arrays(out, names=["set_key", "no_id", "id"])
+        return pa.RecordBatch.from_arrays(out, names=["set_key", *_KEYS])
 
     for batch in batches:
-        for elements, key, region, _, no_id, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for elements, key, region, _, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if region != current:
                 close()
                 current = region
-            if not rows or rows[-1][1] != key:  # copies of a set come one after the other
-                rows.append((np.frombuffer(elements, U64), key, (no_id, i)))
+            if not rows or rows[-1][1] != key:  # repeated rows come one after the other
+                rows.append((np.frombuffer(elements, U64), key, tuple(own)))
         if len(done) > 5000:
             yield batch_of()
     close()
@@ -377,20 +403,26 @@ def _join_regions(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield batch_of()
 
 
-def _try_pivots(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (elements, set_key, pivots: array of (set_key, elements)) to links (a, b) with pivots."""
-    cached: tuple = (None, None)
+def _by_element(pivots: list[tuple[bytes, bytes]]) -> tuple:
+    """For pivots (set_key, elements): keys, all elements in order, whose they are, sizes."""
+    sets = [np.frombuffer(elements, U64) for _, elements in pivots]
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    return [key for key, _ in pivots], flat[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+
+
+def _try_pivots(rule: Rule, pivots, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (elements, set_key, region) to links (a, b) with their region's pivots."""
+    ready: dict[int, tuple] = {}
     for batch in batches:
         out = []
-        for elements, key, pivots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            names = [p["set_key"] for p in pivots]
-            if cached[0] != names:
-                sets = [np.frombuffer(p["elements"], U64) for p in pivots]
-                flat = np.concatenate(sets)
-                order = np.argsort(flat, kind="stable")
-                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                cached = (names, (flat[order], owner[order], np.array([len(s) for s in sets])))
-            flat, owner, sizes = cached[1]
+        for elements, key, region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if region not in pivots.value:
+                continue
+            if region not in ready:
+                ready[region] = _by_element(pivots.value[region])
+            names, flat, owner, sizes = ready[region]
             s = np.frombuffer(elements, U64)
             lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
             hits = hi - lo
@@ -402,37 +434,59 @@ def _try_pivots(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
-def _large_regions(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(set_key, no_id, id) of components in regions that no task holds as a whole."""
-    members = runtime.cut(sets.dropDuplicates(["set_key"]), "members")
-    links, tried = None, None
-    while True:
-        if links is None:
-            left = members.select("region", "set_key", "n")
-            found = members.select(F.col("set_key").alias("node"), F.col("set_key").alias("root"))
-        else:
-            found = graph.components(links)
-            at = members.select("region", "set_key", "n").join(found.withColumnRenamed("node", "set_key"), "set_key")
-            counts = at.groupBy("region", "root").agg(F.count(F.lit(1)).alias("count"))
-            largest = counts.groupBy("region").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
-            left = at.join(largest, ["region", "root"], "left_anti").join(tried, "set_key", "left_anti").select("region", "set_key", "n")
-        order = Window.partitionBy("region").orderBy("set_key")
-        # some of each region's sets (fewer are sorted out before the shuffle), as far as their elements fit
-        some = left.withColumn("nth", F.row_number().over(order)).where("nth <= 256").withColumn("sum", F.sum("n").over(order))
-        chosen = runtime.cut(some.where((F.col("nth") == 1) | (F.col("sum") <= PIVOTS)).select("region", "set_key"), "chosen")
-        if chosen.isEmpty():
-            break
-        pivots = members.join(chosen, ["region", "set_key"], "left_semi").groupBy("region").agg(F.collect_list(F.struct("set_key", "elements")).alias("pivots"))
-        rows = members.join(pivots, "region").select("elements", "set_key", "pivots")
-        new = rows.mapInArrow(partial(_try_pivots, rule), "a binary, b binary")
-        if links is None:
-            new = new.unionByName(members.select(F.col("set_key").alias("a"), F.col("set_key").alias("b")))
-        links = runtime.cut(new if links is None else links.unionByName(new), "tried")
-        own = chosen.select("set_key")
-        tried = own if tried is None else runtime.cut(tried.unionByName(own), "pivots")
-    ids = members.select(F.col("set_key").alias("node"), "no_id", "id").join(found, "node")
-    best = ids.groupBy("root").agg(F.min(F.struct("no_id", "id")).alias("best"))
-    return ids.select("node", "root").join(best, "root").select(F.col("node").alias("set_key"), "best.no_id", "best.id")
+def _pivots(members: DataFrame, left: DataFrame, each: int) -> dict[int, list[tuple[bytes, bytes]]]:
+    """About ``each`` of the sets in ``left`` for every region, as far as the bound of shingles allows (one at least).
+
+    A set's turn is a uniform number from its hash times the number of its region's sets: the n-th in a region has its turn
+    at about n, so the first ones of all regions are found without ranking any region.
+    """
+    sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("sets"))
+    uniform = F.shiftrightunsigned(F.xxhash64("set_key"), 11) / float(1 << 53)
+    turns = left.join(_small(sizes), "region").select("region", "set_key", "n", (uniform * F.col("sets")).alias("turn"))
+    first = turns.orderBy("turn", "set_key").limit(4096).collect()
+    chosen, total = [], 0
+    for r in first:
+        total += r.n
+        if not chosen or (total <= PIVOTS and r.turn <= each):
+            chosen.append((r.region, r.set_key))
+    if not chosen:
+        return {}
+    wanted = F.broadcast(members.sparkSession.createDataFrame(chosen, "region long, set_key binary"))
+    found: dict[int, dict[bytes, bytes]] = {}
+    for r in members.join(wanted, ["region", "set_key"]).groupBy("region", "set_key").agg(F.first("elements").alias("elements")).collect():
+        found.setdefault(r.region, {})[bytes(r.set_key)] = bytes(r.elements)
+    return {region: sorted(sets.items()) for region, sets in found.items()}
+
+
+def _large_regions(members: DataFrame, rule: Rule, about: int) -> DataFrame:
+    """(set_key, no_id, id, text_hash) of components in regions that no task holds as a whole.
+
+    Each round sends a bounded batch of pivots to all executors; members stay where they are.
+    """
+    spark = members.sparkSession
+    keys = runtime.cut(members.select("region", "set_key", "n").distinct(), "keys", about)
+    links = runtime.cut(keys.select(F.col("set_key").alias("a"), F.col("set_key").alias("b")), "tried", about)
+    left, found, tried, each = keys, None, None, 4
+    while pivots := _pivots(members, left, each):
+        rows = members.select("elements", "set_key", "region")
+        new = rows.mapInArrow(partial(_try_pivots, rule, spark.sparkContext.broadcast(pivots)), "a binary, b binary")
+        before, links = links, runtime.cut(links.unionByName(new), "tried", about)
+        known, found = found, graph.components(links, about)
+        runtime.drop(before, *([known] if known is not None else []))
+        own = spark.createDataFrame([(key,) for sets in pivots.values() for key, _ in sets], "set_key binary")
+        before, tried = tried, runtime.cut(own if tried is None else tried.unionByName(own), "pivots", about)
+        if before is not None:
+            runtime.drop(before)
+        at = keys.join(found.withColumnRenamed("node", "set_key"), "set_key")
+        counts = at.groupBy("region", "root").agg(F.count(F.lit(1)).alias("count"))
+        largest = counts.groupBy("region").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
+        left = at.join(_small(largest), ["region", "root"], "left_anti").join(_small(tried), "set_key", "left_anti").select("region", "set_key", "n")
+        each = 256
+    ids = members.select(F.col("set_key").alias("node"), *_KEYS).distinct().join(found, "node")
+    best = ids.groupBy("root").agg(F.min(F.struct(*_KEYS)).alias("best"))
+    out = runtime.cut(ids.select("node", "root").join(best, "root").select(F.col("node").alias("set_key"), "best.*"), "spread", about)
+    runtime.drop(keys, links, tried, found)
+    return out
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -440,66 +494,80 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
-    """What a document is fetched by: its id, or the text's hash where it has none."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What a document is told by: its id, or the text's hash where it has none, and the text's hash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col(id_col).cast("long")
-    return own.isNull().alias("no_id"), F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text")
+    return [own.isNull().alias("no_id"), F.coalesce(own, F.xxhash64(text)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")]
+
+
+def _regions(rows: DataFrame, described: DataFrame, rule: Rule, about: int) -> DataFrame:
+    """(node, root) of all nodes that share a signature with another one of a similar sketch."""
+    signed = rows.select("text").mapInArrow(partial(_sign, rule), "signature long, node long")
+    shared = signed.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "met long, node long")
+    shared = runtime.cut(shared, "shared")
+    sketches = described.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    meeting = shared.distinct().join(sketches, "node").select("met", "node", "n", "sketch").repartition("met").sortWithinPartitions("met", "node")
+    regions = graph.components(meeting.mapInArrow(partial(_ties, rule), "a long, b long"), about)
+    runtime.drop(shared)
+    return regions
 
 
 def classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's ``no_id, id, n, first_no_id, first_id``: the smallest key among all it is linked with, itself included."""
-    spark = docs.sparkSession
-    runtime.ship(spark)
-    runtime.arrow_rows(spark)
+    """Every row's ``no_id, id, text_hash, n`` and ``first``: the smallest (no_id, id, text_hash) among all it is linked with, itself included."""
+    runtime.ship(docs.sparkSession)
     rows = docs.select(*_keyed(docs, id_col, text_col))
-    described = rows.mapInArrow(partial(_describe, rule), "no_id boolean, id long, n long, set_key binary, node long, signatures array<long>, sketch binary")
-    described = runtime.cut(described, "sets")
-    signed = described.where(F.size("signatures") > 0).select(F.explode("signatures").alias("signature"), "node")
-    shared = signed.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(_shared, "signature long, node long")
-    sketches = described.where("sketch is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    meeting = shared.join(sketches, "node").select("signature", "node", "n", "sketch").repartition("signature").sortWithinPartitions("signature", "node")
-    regions = graph.components(meeting.mapInArrow(partial(_ties, rule), "a long, b long")).withColumnRenamed("root", "region")
-
-    whole = described.where("n > 0").groupBy("set_key").agg(F.min(F.struct("no_id", "id")).alias("own"), F.first("n").alias("n"), F.first("node").alias("node"))
-    whole = runtime.cut(whole.select("set_key", "n", "node", "own.no_id", "own.id"), "classes")
-    there = runtime.cut(whole.join(regions, "node").select("set_key", "region", "n", "no_id", "id"), "candidates")
-    totals = there.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > REGION).select("region")
-    large = runtime.cut(totals, "large")
-    wanted = _small(there)
-    sets = rows.join(wanted, ["no_id", "id"]).select("text", "set_key", "region", "n", "no_id", "id")
-    sets = sets.mapInArrow(partial(_load, rule), "elements binary, set_key binary, region long, n long, no_id boolean, id long")
-    joined = sets
-    if not large.isEmpty():
-        sets = runtime.cut(sets, "elements")
-        joined = sets.join(large, "region", "left_anti").select(*sets.columns)
-    found = joined.repartition("region").sortWithinPartitions("region", "set_key").mapInArrow(partial(_join_regions, rule), "set_key binary, no_id boolean, id long")
-    if not large.isEmpty():
-        found = found.unionByName(_large_regions(sets.join(large, "region", "left_semi"), rule))
-    found = found.select("set_key", F.struct(F.col("no_id").alias("first_no_id"), F.col("id").alias("first_id")).alias("found"))
-    best = whole.join(found, "set_key", "left").select("set_key", F.coalesce("found", F.struct(F.col("no_id").alias("first_no_id"), F.col("id").alias("first_id"))).alias("best"))
-    best = runtime.cut(best, "best")
-    own = F.struct(F.col("no_id").alias("first_no_id"), F.col("id").alias("first_id"))
-    out = described.select("no_id", "id", "n", "set_key").join(best, "set_key", "left").withColumn("best", F.coalesce("best", own))
-    return out.select("no_id", "id", "n", "best.first_no_id", "best.first_id")
+    described = runtime.cut(rows.mapInArrow(partial(_describe, rule), f"{_KEY}, n long, set_key binary, node long, sketch binary"), "sets")
+    about = described.count()
+    regions = _regions(rows, described, rule, about)
+    whole = described.where("n > 0").groupBy("set_key").agg(F.min(F.struct(*_KEYS)).alias("own"), F.first("n").alias("n"), F.first("node").alias("node"))
+    whole = runtime.cut(whole, "classes", about)
+    there = runtime.cut(whole.join(regions, "node").select("set_key", F.col("root").alias("region"), "n", "own.*"), "candidates", about)
+    runtime.drop(regions)
+
+    texts = runtime.hits(there.select("id"), rows, F.col("id")).where("hit").select("row.*")
+    texts = texts.join(_small(there), _KEYS).select("text", "set_key", "region", "n", *_KEYS)
+    sets = runtime.cut(texts.mapInArrow(partial(_load, rule), f"elements binary, set_key binary, region long, n long, {_KEY}"), "elements")
+    sizes = there.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
+    large = runtime.cut(sizes.where((F.col("total") > REGION) | (F.col("sets") > REGION_SETS)).select("region"), "large", about)
+    if large.isEmpty():
+        members, small = None, sets
+    else:
+        small = sets.join(_small(large), "region", "left_anti").select(*sets.columns)
+        members = sets.join(_small(large), "region", "left_semi").select(*sets.columns)
+    found = small.repartition("region").sortWithinPartitions("region", "set_key").mapInArrow(partial(_join_regions, rule), f"set_key binary, {_KEY}")
+    spread = _large_regions(members, rule, about) if members is not None else None
+    if spread is not None:
+        found = found.unionByName(spread)
+    found = found.select("set_key", F.struct(*_KEYS).alias("found"))
+    best = runtime.cut(whole.join(found, "set_key", "left").select("set_key", F.coalesce("found", "own").alias("best")), "best", about)
+    runtime.drop(whole, there, sets, large, *([spread] if spread is not None else []))
+    out = described.select(*_KEYS, "n", "set_key").join(best, "set_key", "left")
+    return out.select(*_KEYS, "n", F.coalesce("best", F.struct(*_KEYS)).alias("first"))
 
 
 def join_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; component_id is the smallest doc_id reachable by links."""
     out = classes(docs, rule, id_col, text_col)
-    named = lambda no_id, i: F.when(~F.col(no_id), F.col(i))
-    return out.select(named("no_id", "id").alias("doc_id"), F.col("n").alias("n_shingles"), named("first_no_id", "first_id").alias("component_id"))
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~F.col("first.no_id"), F.col("first.id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are linked, directly or not, with one of a smaller id; all columns stay.
 
-    Of rows with equal id and text one stays. Documents without words all stay.
+    Of linked rows with equal id the one of the smallest text hash stays, of rows with equal id and text one. Documents
+    without words stay. Only rows whose id is that of a row to go, or is repeated, move.
     """
     found = runtime.cut(classes(docs, rule, id_col, text_col), "found")
-    gone = runtime.cut(found.where("id <> first_id or no_id <> first_no_id").select("no_id", "id").distinct(), "gone")
-    no_id, i, text = _keyed(docs, id_col, text_col)
-    kept = docs.withColumns({"_no_id": no_id, "_id": i}).join(_small(gone.select(F.col("no_id").alias("_no_id"), F.col("id").alias("_id"))), ["_no_id", "_id"], "left_anti")
-    if not found.groupBy("no_id", "id").count().where("count > 1").isEmpty():
-        kept = kept.withColumn("_text", F.xxhash64(text)).dropDuplicates(["_no_id", "_id", "_text"]).drop("_text")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    about = found.count()
+    gone = runtime.cut(found.where(F.struct(*_KEYS) != F.col("first")).select(*_KEYS).distinct(), "gone", about)
+    again = runtime.cut(found.groupBy(*_KEYS).count().where("count > 1").select(*_KEYS), "again", about)
+    runtime.drop(found)
+    columns = [F.col(f"row.`{c}`") for c in docs.columns]
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keyed(docs, id_col, text_col)[:3])
+    flagged = runtime.hits(gone.select("id").unionByName(again.select("id")), told, F.col("id"))
+    sure, maybe = flagged.where("not hit").select("row.*"), flagged.where("hit").select("row.*")
+    maybe = maybe.join(_small(gone), _KEYS, "left_anti")
+    if not again.isEmpty():
+        maybe = maybe.dropDuplicates(_KEYS)
+    return sure.select(*columns).union(maybe.select(*columns))

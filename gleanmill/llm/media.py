@@ -278,7 +278,6 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """Store the payload of every row's whole text; one archive a partition."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    runtime.arrow_rows(spark)
     spark.dataSource.register(MediaArchive)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows.write.format("media_archive").mode("append").option("path", path).save()

@@ -165,7 +165,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     runtime.ship(spark)
-    runtime.arrow_rows(spark)
     found = piece_table(model_path)
     shared = spark.sparkContext.broadcast(found | {"id": hash(tuple(sorted(found["pieces"].items())))})
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -133,7 +133,6 @@ def assess(
 
 
 def _judge(rows: DataFrame, min_texts: int, share: float, min_left: float, min_words: int, max_repeat: float) -> DataFrame:
-    runtime.arrow_rows(rows.sparkSession)
     counted = base_counts(_with_hashes(rows, runtime.cut(common_lines(rows, min_texts, share), "lines")))
     stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("hashes", _line_hash(x)))
     clean = F.when(F.col("hashes").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))

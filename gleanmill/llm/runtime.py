@@ -2,71 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import dealt
+from ..shared import cut, drop, hits, shared_dir, shared_path
+from ..shipping import dealt, ship
+
+__all__ = ["batch_limits", "cut", "drop", "hits", "shared_dir", "shared_path", "ship", "table"]
 
 #: Rows that reach a Python worker at once; operators slice further by bytes.
 ARROW_ROWS = 2000
 #: Rows that a Parquet reader holds at once: texts of some KB each must not need buffers of tens of MB.
 READER_ROWS = 512
 
-_SHIPPED = "gleanmill.shipped"
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors once per application, so that worker code is importable there."""
-    sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):  # else this code already runs from a shipped archive
-        path = os.path.join(tempfile.mkdtemp(prefix="gleanmill-"), "gleanmill_code.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, files in os.walk(root):
-                for name in files:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(path)
-    sc.setLocalProperty(_SHIPPED, sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        found = known or "file://" + tempfile.mkdtemp(prefix="gleanmill-shared-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(found)
-            found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/gleanmill-{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends here, and sizes are known."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def batch_limits(spark: SparkSession) -> None:
+    """Smaller Arrow and Parquet batches for this session: a batch of long texts must not fill a worker's or an executor's memory.
 
-def arrow_rows(spark: SparkSession) -> None:
-    """Smaller Arrow and Parquet batches: a batch of long texts must not fill a worker's or an executor's memory."""
+    The registered queries and the pipeline call this; operators leave their caller's session as it is.
+    """
     for key, default, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READER_ROWS)):
         if int(spark.conf.get(key, default)) != rows:
             spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batch_limits(spark)
     return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

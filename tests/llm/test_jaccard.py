@@ -5,10 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanmill.llm import graph, hashing, jaccard
+from gleanmill.llm import graph, hashing, jaccard, runtime
 from gleanmill.llm.jaccard import Rule
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("region", T.StringType()), T.StructField("n", T.StringType())])
@@ -87,6 +89,10 @@ def test_components_equal_brute_force(spark, monkeypatch, rule, spread):
     if spread:
         monkeypatch.setattr(jaccard, "REGION", 3000)
         monkeypatch.setattr(jaccard, "PIVOTS", 2000)
+        monkeypatch.setattr(jaccard, "REGION_SETS", 20)
+        monkeypatch.setattr(jaccard, "FEW", 3)
+        monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(graph, "LAST", 50)
     rows = corpus(5)
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(3)
     got = sorted((tuple(r) for r in jaccard.join_documents(df, rule).collect()), key=str)
@@ -121,9 +127,9 @@ def test_linked_sets_share_a_signature(rule):
                 tried += 1
                 assert len(np.intersect1d(jaccard.signatures(s, rule), jaccard.signatures(t, rule)))
                 a, b = (jaccard.sketch(x, rule) for x in (s, t))
-                least = 8 * min(len(a), len(b))
-                apart = jaccard._fold(int.from_bytes(a, "big"), 8 * len(a), least) ^ jaccard._fold(int.from_bytes(b, "big"), 8 * len(b), least)
-                assert apart.bit_count() <= len(s) + len(t) - 2 * common
+                a, b = (np.frombuffer(x, hashing.U64) for x in (a, b))
+                least = min(len(a), len(b))
+                assert np.bitwise_count(jaccard.fold(a, least) ^ jaccard.fold(b, least)).sum() <= len(s) + len(t) - 2 * common
     assert tried > 200
 
 
@@ -143,7 +149,9 @@ def test_cells_find_what_a_sweep_finds():
     assert len(set(region.labels())) < len(sets)
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("last", [graph.LAST, 30, 0])
+def test_graph_components(spark, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST", last)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)] + [(300, x) for x in range(301, 360)] + [(5, 4), (None, 3)]
     parent = {}
@@ -160,3 +168,59 @@ def test_graph_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_one_of_each_keeps_columns_and_rows_of_their_own(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    rows = [(1, a), (2, a), (3, near), (5, b), (5, c), (5, a), (6, c), (None, b), (None, "alone"), (7, None), (8, ""), (9, "one"), (9, "one"), (10, "few words"), (10, "few words")]
+    names = ["doc_id", "text", "_id", "_no_id", "id", "no_id", "row", "hit", "text_hash", "first", "region", "bucket"]
+    df = spark.createDataFrame([(*r, f"mongo-{k}", "x", "x", "x", "x", "x", "x", "x", "x", "x") for k, r in enumerate(rows)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)).repartition(3)
+    out = jaccard.one_of_each(df)
+    assert out.columns == names
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    # b is of 5 and of a null id, c of 5 and of 6: each goes with the smallest id; of equal rows one stays
+    assert got == sorted([(1, a), (5, b), (5, c), (None, "alone"), (7, None), (8, ""), (9, "one"), (10, "few words")], key=str)
+    assert all(r._id.startswith("mongo-") for r in out.collect())
+    assert jaccard.one_of_each(df.limit(0)).columns == names and jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_filter_hits_all_keys_and_few_others(spark):
+    keys = spark.range(0, 30000, 3).select((F.col("id") * 7919 - 50000).alias("key"))
+    rows = spark.range(30000).select((F.col("id") * 7919 - 50000).alias("k"), F.lit("x").alias("bucket")).unionByName(spark.createDataFrame([(None, "x")], "k long, bucket string"))
+    out = runtime.hits(keys, rows, F.col("k")).select("row.*", "hit").collect()
+    assert len(out) == 30001 and not next(r for r in out if r.k is None).hit
+    known = [r.hit for r in out if r.k is not None and (r.k + 50000) // 7919 % 3 == 0]
+    other = [r.hit for r in out if r.k is not None and (r.k + 50000) // 7919 % 3]
+    assert len(known) == 10000 and all(known) and sum(other) < 0.15 * len(other)
+    assert not any(r.hit for r in runtime.hits(keys.limit(0), rows, F.col("k")).collect())
+
+
+def test_equal_groups_become_one():
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["signature", "node"])
+    rows = sorted([(s, n) for s in range(20) for n in (5, 9, 11)] + [(30, 4), (31, 4), (31, 4)] + [(40, n) for n in range(200)] + [(41, 1), (41, 2)])
+    for size in (1, 7, 64, 1000):
+        got = [tuple(r.values()) for b in jaccard._shared(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])) for r in b.to_pylist()]
+        groups = defaultdict(set)
+        for met, node in got:
+            groups[met].add(node)
+        assert sorted(map(sorted, groups.values())) == [list(range(200)), [1, 2], [5, 9, 11]]
+        assert sum(node == 4 for met, node in got if met != 40) == 0 and sum(met == 40 for met, _ in got) == 200
+
+
+def test_leaders_compare_sketches_of_all_sizes():
+    rng = np.random.default_rng(5)
+    rule, leaders, plain = Rule(), jaccard._Leaders(), []
+    for i, n in enumerate([30, 60, 200, 900, 40, 2000, 35, 210] * 6):
+        s = np.unique(rng.integers(0, 1 << 62, n)).astype(hashing.U64)
+        bits = np.frombuffer(jaccard.sketch(s, rule), hashing.U64)
+        found = {node: int(d) for nodes, apart in leaders.distances(bits) for node, d in zip(nodes, apart, strict=True)}
+        for node, other in plain:
+            least = min(len(bits), len(other))
+            assert found[node] == int(np.bitwise_count(jaccard.fold(bits, least) ^ jaccard.fold(other, least)).sum())
+        assert len(found) == len(plain)
+        leaders.add(i, bits)
+        plain.append((i, bits))
