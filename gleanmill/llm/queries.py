@@ -125,8 +125,7 @@ again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id
 covered AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 norm AS (SELECT DISTINCT host, text, trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS line
          FROM (SELECT host, text, unnest(lines) AS x FROM l)),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-hot AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM norm GROUP BY ALL) JOIN hosts USING (host) WHERE n > 20 AND n > 0.2 * texts),
+hot AS (SELECT host, line FROM norm GROUP BY ALL HAVING count(*) > 20),
 hot_of AS (SELECT host, list(line) AS hot FROM hot GROUP BY host),
 clean AS (SELECT l.*, list_filter(all_lines, lambda x: NOT list_contains(coalesce(hot, []), trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), ' '))) AS stays
           FROM l LEFT JOIN hot_of USING (host)),

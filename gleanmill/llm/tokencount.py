@@ -21,6 +21,8 @@ from . import runtime
 MARK = "▁"  # what the model writes for a space
 #: Entries a worker remembers, of units and of parts; the memo restarts when full, results don't depend on it.
 MEMO = 1_000_000
+#: Characters of what is remembered; longer runs are counted each time.
+REMEMBERED = 64
 
 _OUT = T.StructType(
     [
@@ -91,9 +93,11 @@ class MergeCounter:
             if i == len(unit) or unit[i - 1 : i + 1] not in inside:
                 part = unit[first:i]
                 if (c := parts.get(part)) is None:
+                    c = self.count_part(part)
                     if len(parts) >= MEMO:
                         parts.clear()
-                    c = parts[part] = self.count_part(part)
+                    if len(part) <= REMEMBERED:
+                        parts[part] = c
                 total += c
                 first = i
         return total
@@ -119,7 +123,7 @@ class _Units(dict):
         n = self.counter.count_unit(MARK + key)
         if len(self) >= MEMO:
             self.clear()
-        if len(key) <= 64:
+        if len(key) <= REMEMBERED:
             self[key] = n
         return n
 
@@ -150,7 +154,6 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """
     spark = docs.sparkSession
     runtime.ship(spark)
-    runtime.arrow_rows(spark)
     scores = piece_scores(model_path)
     shared = spark.sparkContext.broadcast({"id": hash(tuple(sorted(scores.items()))), "scores": scores})
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

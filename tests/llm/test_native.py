@@ -76,11 +76,26 @@ def check_shards(rows, got, shards):
         assert abs(sum(r.size for r in own) - total / shards) <= largest
 
 
+def plain_shards(rows, shards):
+    """One running sum over all rows in order: a row is in the shard in whose equal share its middle byte lies."""
+    sized = sorted(((-1 if i is None else i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t, *_ in rows))
+    total, at, out, slots = sum(r[2] for r in sized), 0, [], Counter()
+    for i, crc, size in sized:
+        shard = (2 * at + size) * shards // (2 * total)
+        out.append((None if i == -1 else i, size, crc, shard, slots[shard], at))
+        slots[shard] += 1
+        at += size
+    return out
+
+
 def test_shards(spark):
     rows = [(i * 7 % 500, "é" * (i % 90) if i % 11 else None, "x") for i in range(500)] + [(None, "no id", ""), (3, "hot", "")] + [(3, "hot", "")] * 300 + [(501, "long " * 400, "")]
     schema = fields(doc_id=L, text=S, size=S)
     df = spark.createDataFrame(rows, schema).repartition(3)
-    check_shards(rows, sharding.shard_by_bytes(df, 24).collect(), 24)
+    got = sharding.shard_by_bytes(df, 24).collect()
+    check_shards(rows, got, 24)
+    key = lambda r: (r[0] is not None, *r)
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.start_byte) for r in got), key=key) == sorted(plain_shards(rows, 24), key=key)
     check_shards(rows[:5], sharding.shard_by_bytes(spark.createDataFrame(rows[:5], schema), 24).collect(), 24)
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0
 
