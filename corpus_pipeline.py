@@ -16,21 +16,25 @@ from gleanmill.llm import jaccard, packing, quality, resample, runtime
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted, without the lines that too many texts of their host share."""
+    runtime.batch_limits(spark)
     return quality.clean_documents(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """An importance sample of as many documents as the target model finds likely, within bounds from the labels that are left."""
+    """An importance sample of as many documents as the labels that are left say are good, plus two standard errors."""
+    runtime.batch_limits(spark)
     return resample.sample_documents(docs, runtime.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked over shingles of five words at a similarity of 0.8 or more."""
+    runtime.batch_limits(spark)
     return jaccard.one_of_each(docs, jaccard.Rule(words=5, num=80, den=100))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, packed into windows of 2048 tokens; small memos, as other stages' workers stay alive."""
+    runtime.batch_limits(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=200_000)
 
 
@@ -47,9 +51,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read again before the next."""
-    docs = runtime.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = runtime.cut(docs, name)
-    return docs
+    docs, before = runtime.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = runtime.cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            runtime.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
