@@ -51,8 +51,10 @@ RING = 1.4
 SKETCH_BITS, LEAST_BITS = 8, 128
 #: Shingles and sets of a region that one task may hold; larger regions stay spread out.
 REGION, REGION_SETS = 1_000_000, 200
-#: Shingles of the pivots that large regions try in one round, all together; so much is broadcast.
-PIVOTS = 1_000_000
+#: Shingles, and sets, of the pivots that large regions try in one round, all together; so much is broadcast.
+PIVOTS, PIVOT_SETS = 1_500_000, 16_384
+#: Pivots of each region in the first round: most copies of one page link with any of its copies.
+FIRST = 4
 #: Signatures of up to so many nodes are told by their nodes.
 FEW = 64
 #: Cells of so many sets are compared directly.
@@ -434,8 +436,8 @@ def _try_pivots(rule: Rule, pivots, batches: Iterator[pa.RecordBatch]) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
-def _pivots(members: DataFrame, left: DataFrame, each: int) -> dict[int, list[tuple[bytes, bytes]]]:
-    """About ``each`` of the sets in ``left`` for every region, as far as the bound of shingles allows (one at least).
+def _pivots(members: DataFrame, left: DataFrame, each: float) -> dict[int, list[tuple[bytes, bytes]]]:
+    """About ``each`` of the sets in ``left`` for every region, as far as the bounds allow (one at least).
 
     A set's turn is a uniform number from its hash times the number of its region's sets: the n-th in a region has its turn
     at about n, so the first ones of all regions are found without ranking any region.
@@ -443,7 +445,7 @@ def _pivots(members: DataFrame, left: DataFrame, each: int) -> dict[int, list[tu
     sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("sets"))
     uniform = F.shiftrightunsigned(F.xxhash64("set_key"), 11) / float(1 << 53)
     turns = left.join(_small(sizes), "region").select("region", "set_key", "n", (uniform * F.col("sets")).alias("turn"))
-    first = turns.orderBy("turn", "set_key").limit(4096).collect()
+    first = turns.orderBy("turn", "set_key").limit(PIVOT_SETS).collect()
     chosen, total = [], 0
     for r in first:
         total += r.n
@@ -466,7 +468,7 @@ def _large_regions(members: DataFrame, rule: Rule, about: int) -> DataFrame:
     spark = members.sparkSession
     keys = runtime.cut(members.select("region", "set_key", "n").distinct(), "keys", about)
     links = runtime.cut(keys.select(F.col("set_key").alias("a"), F.col("set_key").alias("b")), "tried", about)
-    left, found, tried, each = keys, None, None, 4
+    left, found, tried, each = keys, None, None, FIRST
     while pivots := _pivots(members, left, each):
         rows = members.select("elements", "set_key", "region")
         new = rows.mapInArrow(partial(_try_pivots, rule, spark.sparkContext.broadcast(pivots)), "a binary, b binary")
@@ -481,7 +483,7 @@ def _large_regions(members: DataFrame, rule: Rule, about: int) -> DataFrame:
         counts = at.groupBy("region", "root").agg(F.count(F.lit(1)).alias("count"))
         largest = counts.groupBy("region").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
         left = at.join(_small(largest), ["region", "root"], "left_anti").join(_small(tried), "set_key", "left_anti").select("region", "set_key", "n")
-        each = 256
+        each = math.inf
     ids = members.select(F.col("set_key").alias("node"), *_KEYS).distinct().join(found, "node")
     best = ids.groupBy("root").agg(F.min(F.struct(*_KEYS)).alias("best"))
     out = runtime.cut(ids.select("node", "root").join(best, "root").select(F.col("node").alias("set_key"), "best.*"), "spread", about)
