@@ -415,8 +415,12 @@ def _by_element(pivots: list[tuple[bytes, bytes]]) -> tuple:
 
 
 def _try_pivots(rule: Rule, pivots, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (elements, set_key, region) to links (a, b) with their region's pivots."""
+    """Rows (elements, set_key, region) to links (a, b) with their region's pivots.
+
+    A task gives out a forest: of copies that all link with each other, one link a set, not all pairs.
+    """
     ready: dict[int, tuple] = {}
+    forest = graph.Forest()
     for batch in batches:
         out = []
         for elements, key, region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -431,7 +435,10 @@ def _try_pivots(rule: Rule, pivots, batches: Iterator[pa.RecordBatch]) -> Iterat
             at = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))
             common = np.bincount(owner[at], minlength=len(sizes))
             for j in np.flatnonzero(rule.den * common >= rule.num * (sizes + len(s) - common)).tolist():
-                out.append((key, names[j]))
+                if forest.connect(key, names[j]):
+                    out.append((key, names[j]))
+        if len(forest.parent) > 500_000:
+            forest.parent.clear()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
