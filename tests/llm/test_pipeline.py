@@ -75,5 +75,6 @@ def test_stages_on_edge_rows(spark, name):
         elif name == "quality_classifier":
             assert set(texts) <= set(EDGES) and texts.count((1, LONG)) in (0, 2)
         else:
-            assert texts == sorted([EDGES[0], *EDGES[4:]], key=str)
+            # both texts of id 8 have over 0.8 of their five-word shingles in common with those of id 1
+            assert texts == sorted([EDGES[0], *EDGES[4:10]], key=str)
     assert stage(spark, docs.limit(0), SF).count() == 0
