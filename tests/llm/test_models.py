@@ -119,6 +119,61 @@ def test_patterns_beyond_the_bound_stand_for_all(spark, tables, monkeypatch):
     assert a.sum() > 0 and (a != b).mean() < 0.05
 
 
+def test_toxicity_model_is_the_same_wherever_it_is_summed(spark, tables, monkeypatch):
+    docs, labels = tables
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "PATTERNS", 40)  # of 109
+    monkeypatch.setattr(toxicity, "BROADCAST_IDS", 10, raising=False)
+    spread = toxicity.fit(docs, labels)
+    assert (whole.weights != 0).any()
+    assert np.array_equal(whole.weights, spread.weights) and whole.intercept == spread.intercept
+
+
+def test_toxicity_is_fitted_on_all_confirmed_texts(spark):
+    texts = [f"the {'bad' if i % 2 and i % 10 != 3 else 'fine'} {'worse ' * (i % 7 == 1)}word{i % 5}" for i in range(14_000)]
+    ids = spark.range(len(texts), numPartitions=3)
+    docs = ids.select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts[:70])), (F.col("id") % 70 + 1).cast("int")).alias("text"))
+    model = toxicity.fit(docs, ids.select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic")))
+    learnt = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    p, u = Counter(texts[i] for i in learnt if i % 2), Counter(texts)
+    assert p.total() > 4000
+    own = {t: next(toxicity.word_buckets(pa.array([t])))[0] for t in u}
+    by_bucket = [np.bincount(np.concatenate([own[t] for t in c]), np.repeat([c[t] for t in c], [len(own[t]) for t in c]), toxicity.BUCKETS).astype(int) for c in (p, u)]
+    chosen = toxicity.choose(*by_bucket, p.total(), u.total())
+    patterns = [np.flatnonzero(np.isin(chosen, own[t])) for t in u]
+    plain = toxicity.train(chosen, patterns, np.array([p[t] for t in u]), np.array([u[t] for t in u]), np.mean([i % 2 for i in learnt]))
+    assert (model.weights != 0).any()
+    assert np.array_equal(model.weights, plain.weights) and model.intercept == plain.intercept
+
+
+def test_confirmed_rows_are_marked_by_both_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([*[(i, f"t{i}") for i in range(60)], (7, "again"), (None, "no id"), (9, None)], "doc_id long, text string")
+    confirmed = spark.createDataFrame([(i,) for i in [7, 9, 11, 500]], "doc_id long")
+    want = Counter((True if r.doc_id in (7, 9, 11) else None, r.text) for r in docs.collect())
+    for most in (4, 3):
+        monkeypatch.setattr(toxicity, "BROADCAST_IDS", most)
+        assert Counter(map(tuple, toxicity._marked(docs, confirmed).collect())) == want
+
+
+def test_sums_do_not_depend_on_a_split():
+    rng = np.random.default_rng(5)
+    patterns = [np.sort(rng.choice(30, rng.integers(0, 9), replace=False)) for _ in range(400)]
+    u = rng.integers(1, 1 << 24, 400)
+    p = u // 50
+    w = rng.normal(0, 4, 31)
+    whole = toxicity.sums(w, *toxicity._flat(patterns), p, u)
+    order = rng.permutation(400)
+    parts = [toxicity.sums(w, *toxicity._flat([patterns[i] for i in o]), p[o], u[o]) for o in np.array_split(order, 7)]
+    assert np.array_equal(whole, sum(parts))
+    f = [w[-1] + w[t].sum() for t in patterns]
+    for line, n in enumerate((p, u)):
+        texts = n.tolist()
+        assert whole[0, line, 0] / toxicity.PARTS == pytest.approx(sum(k * math.log1p(math.exp(x)) for k, x in zip(texts, f, strict=True)))
+        for j in range(31):
+            has = [(k, x) for k, x, t in zip(texts, f, patterns, strict=True) if j == 30 or j in t]
+            assert whole[0, line, j + 1] / toxicity.PARTS + whole[1, line, j + 1] / toxicity.PARTS**2 == pytest.approx(sum(k / (1 + math.exp(-x)) for k, x in has))
+
+
 def test_unlabelled_toxic_text_is_not_learnt_as_clean():
     rng = np.random.default_rng(1)
     text = lambda bad: np.unique(np.concatenate([rng.integers(100, 5000, 60), [1, 2, 3] if bad else []]).astype(int))
