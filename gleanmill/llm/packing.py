@@ -15,21 +15,25 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import runtime
 
-#: Words a worker remembers the ids of, twice: a full memo stays as the older one. Results don't depend on it.
+#: Pieces of words a worker remembers the ids of, twice: a full memo stays as the older one. Results don't depend on it.
 MEMO = 600_000
+#: Bytes of texts that are encoded at once.
+BYTES = 4 << 20
 #: Windows that may be open at once in a partition before the emptiest are joined.
 OPEN = 4096
 #: Pieces in an output batch.
@@ -44,15 +48,19 @@ _OUT = T.StructType(
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, put together from the ids of words.
+    """Ids of texts, put together from the ids of the distinct pieces of a batch's words.
 
+    A word of Latin letters, then signs has two pieces, its letters (A-Z as a-z if the tokenizer lower-cases) and its signs;
+    any other word is one piece.
     The tokenizer must split at white space and normalise words on their own (checked on a probe when built).
     """
 
-    #: Latin letters: always one pre-token.
-    _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-    #: Latin letters, then ASCII signs other than the apostrophe: always two.
-    _WORD_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-;=?@\[-`{}~]+)")
+    #: Latin letters that stay letters when normalised: always one pre-token. İ becomes i and a mark, which joins signs after it.
+    _LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
+    #: ASCII signs that are a pre-token apart from the letters before them; others can begin a special token or a contraction.
+    _SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+    #: Spaces and line ends, at which texts are cut into words; each stays with the word before it.
+    _STOPS = " \n"
 
     def __init__(self, tokenizer_json: str, most: int = MEMO):
         self.most = most
@@ -69,33 +77,28 @@ class WordIds:
             self.ends[i] = token.endswith(suffix)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        probe = "A b,\tc's  'tis x...\n\nÉá z"
-        if self.texts([probe]) != [self._bytes(self.tokenizer.encode(probe, add_special_tokens=False).ids)]:
+        upper, lower = self.tokenizer.encode_batch_fast([ascii_uppercase, ascii_lowercase], add_special_tokens=False)
+        self.caseless = upper.ids == lower.ids
+        probe = "A b,\tc's  'tis x...\n\nÉá Z"
+        if self.texts(pa.array([probe]))[0].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError("this tokenizer's ids of a text are not those of its words")
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        memo, older, match = self.memo, self.older, self._WORD_SIGNS.fullmatch
+    def _learn(self, pieces: list[str]) -> None:
+        memo, older = self.memo, self.older
         if older:
-            known = [w for w in words if w in older]
+            known = [p for p in pieces if p in older]
             memo.update(zip(known, map(older.__getitem__, known), strict=True))
-            words = words.difference(known)
-        parts = {w: m.groups() if (m := match(w)) else (w,) for w in words}
-        need = {p for ps in parts.values() for p in ps if p not in memo}
-        memo.update((p, older[p]) for p in need if p in older)
-        new = [p for p in need if p not in memo]
-        plain = [p for p in new if self._LETTERS.fullmatch(p)] if len(self.ends) > 1 else []
+            pieces = [p for p in pieces if p not in memo]
+        plain = [p for p in pieces if p.isalpha() and "İ" not in p] if len(self.ends) > 1 else []
         for first in range(0, len(plain), 2000):
             self._learn_plain(plain[first : first + 2000])
-        rest = [p for p in new if p not in memo]
+        rest = [p for p in pieces if p not in memo]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             memo[p] = self._bytes(e.ids)
-        for w, ps in parts.items():
-            if len(ps) > 1:
-                memo[w] = memo[ps[0]] + memo[ps[1]]
 
     def _learn_plain(self, words: list[str]) -> None:
         """Words of letters alone are one pre-token each: encoded in one go, their ids part after each id that ends a word."""
@@ -107,15 +110,66 @@ class WordIds:
                 self.memo[word] = raw[start:stop]
                 start = stop
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _pieces(self, words: pa.StringArray) -> tuple[np.ndarray, list[str]]:
+        """Two pieces of every word, as indices into the distinct ones: letters and what follows, or the whole word and nothing."""
+        stems = pc.ascii_rtrim(words, self._SIGNS + self._STOPS)
+        bounds = _bounds(words)
+        letters = pc.match_substring_regex(stems, self._LETTERS).to_numpy(zero_copy_only=False)
+        cuts = np.empty(2 * len(words) + 1, np.int32)
+        cuts[::2] = bounds
+        cuts[1::2] = np.where(letters, bounds[:-1] + np.diff(_bounds(stems)), bounds[1:])
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), words.buffers()[2])
+        if self.caseless:
+            lower = np.zeros(len(pieces), bool)
+            lower[::2] = letters
+            pieces = pc.if_else(pa.array(lower), pc.ascii_lower(pieces), pieces)
+        found = pieces.dictionary_encode()
+        return found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+    def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end among them."""
+        bounds = _bounds(texts)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        last = (raw == ord(" ")) | (raw == ord("\n"))
+        last[(bounds[1:] - bounds[0])[np.diff(bounds) > 0] - 1] = True
+        starts = bounds[0] + np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), texts.buffers()[2]).dictionary_encode()
+        of_word, pieces = self._pieces(words.dictionary)
         if len(self.memo) > self.most:
             self.memo, self.older = {}, self.memo
-        missing = set().union(*split).difference(self.memo)
-        if missing:
-            self._learn(missing)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = list(map(self.memo.get, pieces))
+        if None in found:
+            self._learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
+            found = list(map(self.memo.__getitem__, pieces))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, sizes = _gathered(np.frombuffer(b"".join(found), "<u4"), sizes, of_word)
+        ids, sizes = _gathered(ids, sizes.reshape(-1, 2).sum(1), words.indices.to_numpy())
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, bounds)]
+
+
+def _bounds(texts: pa.StringArray) -> np.ndarray:
+    """Where texts begin and end in their buffer of bytes."""
+    return np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` are runs of ``sizes``: the chosen runs one after the other, and their sizes."""
+    starts, sizes = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return values[at], sizes
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.StringArray]:
+    """Texts without nulls, some ``BYTES`` of them at a time, a text whole."""
+    texts = pc.fill_null(texts, "")
+    upto = pc.binary_length(texts).to_numpy().astype(np.int64).cumsum()
+    first = 0
+    while first < len(texts):
+        done = upto[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(upto, done + BYTES, "right")))
+        yield texts.slice(first, stop - first).cast(pa.string())
+        first = stop
 
 
 class Levels:
@@ -244,10 +298,11 @@ def _pack_batches(shared, width: int, end_id: int, batches: Iterator[pa.RecordBa
 
     packer = Packer(width, emit)
     for batch in batches:
-        for first in range(0, batch.num_rows, 512):
-            part = batch.slice(first, 512)
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.texts([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                packer.add(doc_id, ids + closing)
+        doc_ids = iter(batch.column(0).to_pylist())
+        for part in _parts(batch.column(1)):
+            ids, bounds = encoder.texts(part)
+            for start, stop in pairwise(bounds.tolist()):
+                packer.add(next(doc_ids), ids[start:stop].tobytes() + closing)
             while len(rows) >= ROWS:
                 yield batch_of(rows[:ROWS])
                 del rows[:ROWS]
@@ -259,7 +314,7 @@ def _pack_batches(shared, width: int, end_id: int, batches: Iterator[pa.RecordBa
 def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``memo`` words are remembered (twice) by a worker, some 200 MB a million: fewer save memory and cost CPU time.
+    ``memo`` pieces of words are remembered (twice) by a worker, some 200 MB a million: fewer save memory and cost CPU time.
     ``tokenizer_path`` is read on the driver; the file (1 to 3 MB) is broadcast. A lost task repeats its own partition,
     whose sequence numbers depend on nothing else.
     """

@@ -2,9 +2,12 @@
 
 import zlib
 from collections import defaultdict
+from itertools import pairwise
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -115,6 +118,58 @@ def test_packing_covers_every_id_once(spark, docs, documents):
     assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
 
 
+ODD = [
+    "<|ENDOFTEXT|> <|endoftext|>x word<|endoftext|>, <|EndOfText|>.", "J\u030c j\u030c \u01f0 \u212b K\u0301 A\u030a, \u1e9e\u0331", "ΣΑΣ Σίσυφος. İ, I\u0307 İİ ıI ŉ",
+    "it's IT'S x,'s 's, don't. a.'", "one\r\ntwo\u2028three\u00a0four \x1c five\x0b", " \n \n", "\n", "end\n", "", None, "No5 5no a1, 1,a (x) x( -- --x x--y", "x\u0338= =\u0338 a=\u0338 \u0958, \ufb2a. aİ, İ.",
+    "日本語、テキスト。 각각 \u1100\u1161\u11a8 ﬁ ﬀ, ª º", "Word WORD, word. wORD!? word; {word} word|word", "é É, É É. ÉÉ\n", "z" * 3000 + ", " + "Z" * 3000,
+]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("most", [3, 1000])
+def test_pieces_have_the_library_ids(monkeypatch, most, kind):
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as f:
+        content = f.read()
+    plain, encoder, texts = Tokenizer.from_str(content), packing.WordIds(content, most), [*ODD, *TEXTS, *ODD]
+    for size in (1, 60, 1 << 20):
+        monkeypatch.setattr(packing, "BYTES", size)
+        for column in (texts, texts[5:9], [None, ""], ["", "a"], []):
+            got = []
+            for part in packing._parts(pa.array(["cut off", *column, "cut off"], kind).slice(1, len(column))):
+                ids, bounds = encoder.texts(part)
+                got += [ids[a:b].tolist() for a, b in pairwise(bounds)]
+            assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in column]
+
+
+def test_a_word_is_encoded_once_for_all_its_spellings(monkeypatch):
+    """The cost of packing is that of words not met before: case and signs after a word must not make new ones."""
+    given = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(w for t in texts for w in t.split())
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = packing.WordIds(f.read())
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    monkeypatch.setattr(packing, "_encoders", {-1: encoder})
+    spelled = [w + sign for w in ("Storm", "storm", "STORM", "Über", "ber") for sign in ("", ",", ".", "!", "...")]
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array([" ".join(spelled), "\n".join(spelled)])], names=["doc_id", "text"])
+    shared = SimpleNamespace(value={"id": -1, "json": "", "memo": 1000})
+    assert sum(b.num_rows for b in packing._pack_batches(shared, 2048, 1, iter([batch, batch]))) == 4
+    assert sorted(w for w in given if w.isalpha()) == ["ber", "storm", "Über"]
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     rng = np.random.default_rng(7)
     width, levels, counts = 20, packing.Levels(20), [0] * 20
