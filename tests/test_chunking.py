@@ -59,6 +59,11 @@ def test_sentences_and_passages(spark):
     assert r.s == ["One.", "Two!", "Three?", "Four"] and r.p == ["a", "b", "c"] and r.q == ["Only.", "One"]
 
 
+def test_sentences_keep_their_digits(spark):
+    text = "0 first. 1 second. 22 third 2. 3"
+    assert spark.createDataFrame([(text,)], "s string").select(ck.sentences(F.col("s")).alias("s")).first().s == ["0 first.", "1 second.", "22 third 2.", "3"]
+
+
 def test_structure_packing(spark):
     word = lambda n: " ".join(["w"] * n)
     out = ck.pack_blocks([(1, "Head one", True), (1, word(5), False), (2, "Head two", True), (2, word(5), False)], 4, 100)
