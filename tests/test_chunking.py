@@ -64,6 +64,11 @@ def test_sentences_keep_their_digits(spark):
     assert spark.createDataFrame([(text,)], "s string").select(ck.sentences(F.col("s")).alias("s")).first().s == ["0 first.", "1 second.", "22 third 2.", "3"]
 
 
+def test_passages_keep_their_digits(spark):
+    text = "0 first\n\nsecond 1\n \n 2 third "
+    assert spark.createDataFrame([(text,)], "p string").select(ck.passages(F.col("p")).alias("p")).first().p == ["0 first", "second 1", "2 third"]
+
+
 def test_structure_packing(spark):
     word = lambda n: " ".join(["w"] * n)
     out = ck.pack_blocks([(1, "Head one", True), (1, word(5), False), (2, "Head two", True), (2, word(5), False)], 4, 100)
