@@ -5,10 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -17,7 +15,7 @@ from ..operators import layout
 from ..operators import marts as mr
 from ..operators import retrieval as rt
 from ..plans import catalog
-from ..sources import readers, schemas, sinks
+from ..sources import archives, readers, schemas, sinks
 from .base import query, table
 from .ranking import _bm25, questions
 from .texts import clean_sql, tickets
@@ -61,21 +59,9 @@ def log_lines(spark, sf):
 
 
 def _archives(spark, rows, what: str) -> str:
-    """Write members ``folder, archive, member, content`` as ZIP archives, one for each archive, where they are gathered."""
+    """Members ``folder, archive, member, content`` as ZIP archives below a new path."""
     path = shared.shared_path(spark, what)
-
-    def write(g: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"))
-        folder = f"{inner}/{g['folder'].iloc[0]}"
-        system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/{g['archive'].iloc[0]}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in zip(g["member"], g["content"], strict=True):
-                z.writestr(name, content)
-        return pd.DataFrame({"members": [len(g)]})
-
-    rows.groupBy("folder", "archive").applyInPandas(write, "members long").agg(F.sum("members")).collect()
+    archives.write(rows, path)
     return path
 
 

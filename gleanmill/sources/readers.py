@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
+from . import archives
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -105,18 +105,40 @@ def logs(spark: SparkSession, path: str, source_dataset: str, system: str = "unk
     )
 
 
-_MEMBERS = "archive string, member string, file_size long, compressed_size long"
+_PLACE = "struct<at:long,packed:long,crc:long>"
+#: ``zip_place``: where a member lies in its archive, so that it can be read without the archive's directory.
+_MEMBERS = f"archive string, member string, file_size long, compressed_size long, zip_place {_PLACE}"
+#: Rows and characters that a listing or a reading gives out at once.
+_ROWS, _CHARACTERS = 10_000, 4 << 20
 
 
-def open_file(path: str):
-    """A file that can be read anywhere, by a path or a URI as Spark writes them."""
-    from pyarrow import fs
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema))
 
-    inner = path.removeprefix("file:")
-    if inner != path or "://" not in path:
-        return fs.LocalFileSystem().open_input_file("/" + inner.lstrip("/") if inner != path else path)
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size."""
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) == _ROWS or n >= _CHARACTERS:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
+def _dealt(members: DataFrame, archive: str) -> DataFrame:
+    """Members on all cores, neighbours together and in order: many tasks read an archive, and each opens it once."""
+    tasks = 4 * members.sparkSession.sparkContext.defaultParallelism
+    return members.repartition(tasks, F.col(archive), F.shiftright("zip_place.at", 20)).sortWithinPartitions(archive, "zip_place.at")
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -127,14 +149,15 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 def zip_members(spark: SparkSession, path: str, glob: str = "*.zip", suffixes: tuple[str, ...] = (".pdf",)) -> DataFrame:
     """SRC-05, SRC-08: members of all archives below a folder. Of an archive only its directory, at the end, is read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name in b["path"]:
-                with open_file(name) as f, zipfile.ZipFile(f) as z:
-                    out = [(name, i.filename, i.file_size, i.compress_size) for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(suffixes)]
-                yield pd.DataFrame(out, columns=["archive", "member", "file_size", "compressed_size"])
+    kinds = _arrow(_MEMBERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name,) in _rows(batches):
+            with archives.open_file(name) as f:
+                found = ((name, m, size, packed, {"at": at, "packed": packed, "crc": crc}) for m, size, packed, at, crc in archives.directory(f) if m.lower().endswith(suffixes))
+                yield from _batches(found, kinds)
 
-    return _files(spark, path, glob).select("path").mapInPandas(run, _MEMBERS)
+    return _files(spark, path, glob).select("path").mapInArrow(run, _MEMBERS)
 
 
 def _base(c: Column) -> Column:
@@ -179,9 +202,9 @@ def manifest_slice(rows: DataFrame, order: str, offset: int, limit: int) -> Data
 
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """SRC-08, FN-14, FN-15: PDF and PPTX files below a folder, also inside archives; PPTX is not parsed."""
-    files = _files(spark, path, "*").select(F.col("path").alias("source_path"), F.lit(None).cast("string").alias("zip_entry"), F.col("length").alias("size_bytes"))
+    files = _files(spark, path, "*").select(F.col("path").alias("source_path"), F.lit(None).cast("string").alias("zip_entry"), F.col("length").alias("size_bytes"), F.lit(None).cast(_PLACE).alias("zip_place"))
     plain = files.where(F.lower("source_path").rlike(r"\.(pdf|pptx)$"))
-    packed = zip_members(spark, path, "*.zip", (".pdf", ".pptx")).select(F.col("archive").alias("source_path"), F.col("member").alias("zip_entry"), F.col("file_size").alias("size_bytes"))
+    packed = zip_members(spark, path, "*.zip", (".pdf", ".pptx")).select(F.col("archive").alias("source_path"), F.col("member").alias("zip_entry"), F.col("file_size").alias("size_bytes"), "zip_place")
     rows = plain.unionByName(packed)
     name = _base(F.coalesce("zip_entry", "source_path"))
     root = path.rstrip("/").removeprefix("file:").replace("//", "/")
@@ -202,39 +225,52 @@ def papers(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"[_-]+", " ").alias("paper_topic"),
         tx.publication_year(name).alias("publication_year"),
         F.when(kind == "pptx", "unsupported_pptx").otherwise("pending").alias("parse_status"),
+        "zip_place",
     )
 
 
 _PAGES = "doc_id string, page_num int, raw_text string, parse_status string, error string"
 
 
-def _content(path: str, entry: str | None) -> bytes:
+def _content(opened: archives.Opened, path: str, entry: str | None, place: dict | None) -> bytes:
     """A file, or one member of an archive, whose other members are not read."""
-    with open_file(path) as f:
-        if not entry:
+    if not entry:
+        with archives.open_file(path) as f:
             return f.read()
-        with zipfile.ZipFile(f) as z:
-            return z.read(entry)
+    f = opened(path)
+    if place is None:
+        found = [x for x in archives.directory(f) if x[0] == entry]
+        if not found:
+            raise KeyError(f"There is no item named {entry!r} in the archive")
+        place = dict(zip(("packed", "at", "crc"), found[-1][2:], strict=True))
+    return archives.member(f, entry, place["at"], place["packed"], place["crc"])
 
 
 def _extracted(manifest: DataFrame, extract, schema: str) -> DataFrame:
     """``extract(bytes) -> rows``, after the doc_id and before status and error; a failure is one row with status ``failed``.
 
-    Each file is opened by the task that has its manifest row.
+    With ``zip_place`` members are dealt to all tasks and read where they lie; without it their archive's directory is
+    searched for each.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
-    empty = (None,) * (len(names) - 3)
+    empty = (None,) * (len(schema.split(", ")) - 3)
+    kinds = _arrow(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch], opened: archives.Opened) -> Iterator[tuple]:
+        for doc, path, entry, place in _rows(batches):
+            try:
+                yield from [(doc, *row, "parsed", "") for row in extract(_content(opened, path, entry, place))]
+            except Exception as e:  # noqa: BLE001  a broken file must not end the job
+                opened.close()
+                yield (doc, *empty, "failed", f"{type(e).__name__}: {e}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for doc, path, entry in zip(b["doc_id"], b["source_path"], b["zip_entry"], strict=True):
-                try:
-                    out = [(doc, *row, "parsed", "") for row in extract(_content(path, entry if isinstance(entry, str) else None))]
-                except Exception as e:  # noqa: BLE001  a broken file must not end the job
-                    out = [(doc, *empty, "failed", f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(out, columns=names).astype({"page_num": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = archives.Opened()
+        yield from _batches(rows(batches, opened), kinds)
+        opened.close()
 
-    return manifest.select("doc_id", "source_path", "zip_entry").mapInPandas(run, schema)
+    placed = "zip_place" in manifest.columns
+    files = manifest.select("doc_id", "source_path", "zip_entry", F.col("zip_place") if placed else F.lit(None).cast(_PLACE).alias("zip_place"))
+    return (_dealt(files, "source_path") if placed else files).mapInArrow(run, schema)
 
 
 def paper_pages(spark: SparkSession, manifest: DataFrame, extract=None) -> DataFrame:
@@ -294,24 +330,25 @@ def labelled_elements(spark: SparkSession, path: str, manifest: DataFrame | None
 
     ``limit`` counts documents, the first by id.
     """
-    members = zip_members(spark, path, glob, (".json",)).select("archive", "member")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        said = lambda x, k: str(x.get(k) or "")
-        for b in batches:
-            out = []
-            for archive, names in b.groupby("archive", sort=False)["member"]:
-                with open_file(archive) as f, zipfile.ZipFile(f) as z:
-                    for name in names:
-                        record = json.loads(z.read(name).decode("utf-8-sig"))
-                        raw, source, label = (record[k] for k in ("raw_data_info", "source_data_info", "learning_data_info"))
-                        x, y = [*(label.get("bounding_box") or []), 0, 0][:2] if len(label.get("bounding_box") or []) != 1 else (label["bounding_box"][0], 0)
-                        told = [said(label, k) for k in ("plain_text", "visual_description", "document_description")]
-                        pdf = source["source_data_name_pdf"]
-                        out.append((archive, pdf, said(raw, "doc_name"), said(raw, "publisher"), said(raw, "organ_type"), int(label["page_num"]), said(label, "class_name"), float(x), float(y), *told))
-            yield pd.DataFrame(out, columns=["archive", "source_pdf", "doc_name", "publisher", "organ_type", "page_num", "class_name", "x", "y", "plain_text", "visual_description", "document_description"])
-
-    read = members.mapInPandas(run, "archive string, source_pdf string, doc_name string, publisher string, organ_type string, page_num int, class_name string, x double, y double, plain_text string, visual_description string, document_description string")
+    members = zip_members(spark, path, glob, (".json",)).select("archive", "member", "zip_place")
+    schema = "archive string, source_pdf string, doc_name string, publisher string, organ_type string, page_num int, class_name string, x double, y double, plain_text string, visual_description string, document_description string"
+    kinds = _arrow(schema)
+    said = lambda x, k: str(x.get(k) or "")
+
+    def labels(batches: Iterator[pa.RecordBatch], opened: archives.Opened) -> Iterator[tuple]:
+        for archive, name, place in _rows(batches):
+            record = json.loads(archives.member(opened(archive), name, place["at"], place["packed"], place["crc"]).decode("utf-8-sig"))
+            raw, source, label = (record[k] for k in ("raw_data_info", "source_data_info", "learning_data_info"))
+            x, y = [*(label.get("bounding_box") or []), 0, 0][:2] if len(label.get("bounding_box") or []) != 1 else (label["bounding_box"][0], 0)
+            told = [said(label, k) for k in ("plain_text", "visual_description", "document_description")]
+            yield (archive, source["source_data_name_pdf"], said(raw, "doc_name"), said(raw, "publisher"), said(raw, "organ_type"), int(label["page_num"]), said(label, "class_name"), float(x), float(y), *told)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = archives.Opened()
+        yield from _batches(labels(batches, opened), kinds)
+        opened.close()
+
+    read = _dealt(members, "archive").mapInArrow(run, schema)
     doc = tx.document_id(F.regexp_replace(_base(F.col("source_pdf")), r"\.[^.]*$", ""))
     rows = read.withColumn("doc_id", doc).withColumns({"split": _split(F.col("archive")), "document_type": _kind(F.col("archive")), "title": F.when(F.col("doc_name") != "", F.col("doc_name")).otherwise(F.col("doc_id"))})
     rows = _of_documents(rows, manifest, limit)

@@ -7,10 +7,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from gleanmill import shared
 from gleanmill.operators import layout
 from gleanmill.operators import marts as mr
 from gleanmill.plans import cases, catalog
-from gleanmill.sources import readers, schemas, sinks
+from gleanmill.sources import archives, readers, schemas, sinks
 from gleanmill.streaming import events
 
 
@@ -266,3 +267,44 @@ def test_streams(spark, tmp_path):
     q.write.parquet(str(tmp_path / "q"))
     events.upsert_batches(events.first_questions(events.read_events(spark, str(tmp_path / "q"), q.schema)), lambda b, i: seen.append(b.count()), str(tmp_path / "cq")).awaitTermination()
     assert sum(seen) == 1
+
+
+def test_directories_as_zipfile_has_them(tmp_path):
+    path = tmp_path / "a.zip"
+    with open(path, "wb") as out:
+        out.write(b"something before the archive")
+        with zipfile.ZipFile(out, "w") as z:
+            z.comment = b"a comment"
+            z.mkdir("folder")
+            for i, (name, how) in enumerate([("a.txt", zipfile.ZIP_STORED), ("folder/한글.txt", zipfile.ZIP_DEFLATED), ("b.txt", zipfile.ZIP_BZIP2), ("empty", zipfile.ZIP_DEFLATED)]):
+                z.writestr(name, "x" * 1000 * (3 - i), how)
+    with zipfile.ZipFile(path) as z, open(path, "rb") as f:
+        listed = [(i.filename, i.file_size, i.compress_size, i.CRC) for i in z.infolist() if not i.is_dir()]
+        found = list(archives.directory(f))
+        assert [(n, size, packed, crc) for n, size, packed, _, crc in found] == listed
+        assert all(archives.member(f, n, at, packed, crc) == z.read(n) for n, _, packed, at, crc in found)
+        n, _, packed, at, crc = found[0]
+        with pytest.raises(zipfile.BadZipFile):
+            archives.member(f, n, at, packed, crc + 1)
+
+
+def test_written_archives_are_whole(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 2).cast("string").alias("folder"), F.lit("a.zip").alias("archive"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("member"), F.repeat(F.lit("가"), (F.col("id") % 7).cast("int")).alias("content"))
+    archives.write(rows.repartition(4), str(tmp_path))
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / str(k) / "a.zip") as z, open(tmp_path / str(k) / "a.zip", "rb") as f:
+            assert z.testzip() is None and sorted(z.namelist()) == sorted(f"m{i}" for i in range(k, 3000, 2))
+            assert z.read(f"m{k + 2}").decode() == "가" * (k + 2) and [x[0] for x in archives.directory(f)] == z.namelist()
+    assert not list((tmp_path / "_parts").glob("*.members"))
+
+
+def test_label_members_are_read_where_they_lie(spark, tmp_path, monkeypatch):
+    label = lambda i: json.dumps({"raw_data_info": {}, "source_data_info": {"source_data_name_pdf": f"OC2_1_A_{i}.pdf"}, "learning_data_info": {"page_num": 1, "class_name": "T01", "plain_text": f"t{i}"}})
+    with zipfile.ZipFile(tmp_path / "TL_01.x_json.zip", "w") as z:
+        for i in range(50):
+            z.writestr(f"{i}.json", label(i))
+    listed = shared.cut(readers.zip_members(spark, str(tmp_path), "*json.zip", (".json",)), "listed")
+    with open(tmp_path / "TL_01.x_json.zip", "r+b") as f:  # no reading looks at the directory again
+        f.truncate(max(r.zip_place.at + r.zip_place.packed + 30 + len(r.member) for r in listed.collect()))
+    monkeypatch.setattr(readers, "zip_members", lambda *_: listed)
+    assert sorted(r.plain_text for r in readers.labelled_elements(spark, str(tmp_path)).collect()) == sorted(f"t{i}" for i in range(50))
