@@ -142,7 +142,7 @@ def pdf_layout(spark, sf):
                 blocks.append({"type": 0, "bbox": (0, k % 10 * 10, 100, k % 10 * 10 + 9), "lines": [{"spans": spans}]})
             yield 600.0, 800.0, {"blocks": blocks}
 
-    members = readers.zip_members(spark, path).select(F.regexp_extract("member", r"^(\d+)\.", 1).alias("doc_id"), F.col("archive").alias("source_path"), F.col("member").alias("zip_entry"))
+    members = readers.zip_members(spark, path).select(F.regexp_extract("member", r"^(\d+)\.", 1).alias("doc_id"), F.col("archive").alias("source_path"), F.col("member").alias("zip_entry"), "zip_place")
     blocks = shared.cut(readers.pdf_blocks(members, layouts).where("parse_status = 'parsed'"), "blocks")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", "y0", "text"))), lambda b: b["text"]), "\n")
     rows = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("page_num").alias("pages"), F.md5(text).alias("text_md5"), F.max("font_size").alias("largest"))

@@ -308,3 +308,14 @@ def test_label_members_are_read_where_they_lie(spark, tmp_path, monkeypatch):
         f.truncate(max(r.zip_place.at + r.zip_place.packed + 30 + len(r.member) for r in listed.collect()))
     monkeypatch.setattr(readers, "zip_members", lambda *_: listed)
     assert sorted(r.plain_text for r in readers.labelled_elements(spark, str(tmp_path)).collect()) == sorted(f"t{i}" for i in range(50))
+
+
+def test_pdf_members_are_read_where_they_lie(spark, tmp_path):
+    rows = spark.range(40).select(F.lit("all").alias("folder"), F.lit("a.zip").alias("archive"), F.concat(F.col("id").cast("string"), F.lit(".pdf")).alias("member"), F.lit("text").alias("content"))
+    archives.write(rows, str(tmp_path))
+    listed = shared.cut(readers.zip_members(spark, str(tmp_path)).select(F.col("member").alias("doc_id"), F.col("archive").alias("source_path"), F.col("member").alias("zip_entry"), "zip_place"), "listed")
+    with open(tmp_path / "all" / "a.zip", "r+b") as f:  # no reading looks at the directory again
+        f.truncate(max(r.zip_place.at + r.zip_place.packed + 30 + len(r.zip_entry) for r in listed.collect()))
+    pages = lambda content: [(1.0, 1.0, {"blocks": [{"type": 0, "bbox": (0, 0, 1, 1), "lines": [{"spans": [{"text": content.decode(), "size": 1.0}]}]}]})]
+    got = readers.pdf_blocks(listed, pages).collect()
+    assert len(got) == 40 and {(r.text, r.parse_status) for r in got} == {("text", "parsed")}
