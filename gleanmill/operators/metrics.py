@@ -305,13 +305,31 @@ def char_similarity(parsed: Column, oracle: Column) -> Column:
     return F.pandas_udf(_matching, "precision double, recall double, similarity double")(parsed, oracle)
 
 
+def _window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n characters, from those of half as many: the work doesn't grow with n."""
+    base = 0x9E3779B97F4A7C15
+    step, size, out, done = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1, None, 0
+    while True:
+        if n & size:
+            out = step if out is None else out[: len(step) - done] * np.uint64(pow(base, size, 1 << 64)) + step[done:]
+            done += size
+            if done == n:
+                return out
+        step = step[: len(step) - size] * np.uint64(pow(base, size, 1 << 64)) + step[size:]
+        size *= 2
+
+
 def duplicate_ngrams(c: Column, n: int = 20) -> Column:
     """AGG-20: share of n-character windows that repeat an earlier one; 0 for shorter texts."""
-    t = tx.blank(c)
-
-    def share(chars: Column) -> Column:  # characters as an array, so that a window costs its own length only
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(n)), "")))
-        return 1 - F.size(F.array_distinct(grams)) / F.size(grams)
 
-    repeated = F.element_at(F.transform(F.array(F.split(t, "")), share), 1)
-    return F.when(F.length(t) < n, 0.0).otherwise(repeated)
+    def share(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if len(codes) >= n:
+                hashes = _window_hashes(codes, n)
+                hashes.sort()
+                out[i] = 1 - (1 + np.count_nonzero(hashes[1:] != hashes[:-1])) / len(hashes)
+        return pd.Series(out)
+
+    return F.pandas_udf(share, "double")(tx.blank(c))

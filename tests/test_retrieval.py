@@ -1,5 +1,7 @@
 """Rankings, fusion and metrics: pinned facts."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +97,14 @@ def test_text_similarity(spark):
     assert d[0].d == pytest.approx(1 - 2 / 21) and d[1].d == 0.0
     cov = spark.createDataFrame([("Deep nets a", "deep networks and nets")], "e string, c string").select(mt.evidence_coverage(F.col("e"), F.col("c"))).collect()[0][0]
     assert cov == 1.0
+
+
+def test_duplicate_windows_of_characters(spark):
+    dice = random.Random(3)
+    texts = ["".join(dice.choice("ab") for _ in range(n)) for n in (19, 20, 21, 400, 3000)] + ["😀가b" * 9, "😀" * 25, "", None]
+    plain = [0.0 if len(t or "") < 20 else 1 - len({t[i : i + 20] for i in range(len(t) - 19)}) / (len(t) - 19) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", mt.duplicate_ngrams(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [r.d for r in rows] == plain
+    for n in (1, 2, 3, 7, 20, 33):
+        codes = np.arange(100, dtype=np.uint32) % 10
+        assert len(np.unique(mt._window_hashes(codes, n))) == 10 and len(mt._window_hashes(codes, n)) == 101 - n
