@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from .. import shared
 from ..functions import text as tx
 from . import archives
 
@@ -108,31 +108,6 @@ def logs(spark: SparkSession, path: str, source_dataset: str, system: str = "unk
 _PLACE = "struct<at:long,packed:long,crc:long>"
 #: ``zip_place``: where a member lies in its archive, so that it can be read without the archive's directory.
 _MEMBERS = f"archive string, member string, file_size long, compressed_size long, zip_place {_PLACE}"
-#: Rows and characters that a listing or a reading gives out at once.
-_ROWS, _CHARACTERS = 10_000, 4 << 20
-
-
-def _arrow(schema: str) -> pa.Schema:
-    return to_arrow_schema(T.StructType.fromDDL(schema))
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of bounded size."""
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += sum(len(x) for x in row if isinstance(x, str))
-        if len(held) == _ROWS or n >= _CHARACTERS:
-            yield batch()
-            held, n = [], 0
-    if held:
-        yield batch()
 
 
 def _dealt(members: DataFrame, archive: str) -> DataFrame:
@@ -149,13 +124,13 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 def zip_members(spark: SparkSession, path: str, glob: str = "*.zip", suffixes: tuple[str, ...] = (".pdf",)) -> DataFrame:
     """SRC-05, SRC-08: members of all archives below a folder. Of an archive only its directory, at the end, is read."""
 
-    kinds = _arrow(_MEMBERS)
+    kinds = shared.arrow_schema(_MEMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (name,) in _rows(batches):
+        for (name,) in shared.rows_of(batches):
             with archives.open_file(name) as f:
                 found = ((name, m, size, packed, {"at": at, "packed": packed, "crc": crc}) for m, size, packed, at, crc in archives.directory(f) if m.lower().endswith(suffixes))
-                yield from _batches(found, kinds)
+                yield from shared.batches_of(found, kinds)
 
     return _files(spark, path, glob).select("path").mapInArrow(run, _MEMBERS)
 
@@ -253,10 +228,10 @@ def _extracted(manifest: DataFrame, extract, schema: str) -> DataFrame:
     searched for each.
     """
     empty = (None,) * (len(schema.split(", ")) - 3)
-    kinds = _arrow(schema)
+    kinds = shared.arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch], opened: archives.Opened) -> Iterator[tuple]:
-        for doc, path, entry, place in _rows(batches):
+        for doc, path, entry, place in shared.rows_of(batches):
             try:
                 yield from [(doc, *row, "parsed", "") for row in extract(_content(opened, path, entry, place))]
             except Exception as e:  # noqa: BLE001  a broken file must not end the job
@@ -265,7 +240,7 @@ def _extracted(manifest: DataFrame, extract, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = archives.Opened()
-        yield from _batches(rows(batches, opened), kinds)
+        yield from shared.batches_of(rows(batches, opened), kinds)
         opened.close()
 
     placed = "zip_place" in manifest.columns
@@ -332,11 +307,11 @@ def labelled_elements(spark: SparkSession, path: str, manifest: DataFrame | None
     """
     members = zip_members(spark, path, glob, (".json",)).select("archive", "member", "zip_place")
     schema = "archive string, source_pdf string, doc_name string, publisher string, organ_type string, page_num int, class_name string, x double, y double, plain_text string, visual_description string, document_description string"
-    kinds = _arrow(schema)
+    kinds = shared.arrow_schema(schema)
     said = lambda x, k: str(x.get(k) or "")
 
     def labels(batches: Iterator[pa.RecordBatch], opened: archives.Opened) -> Iterator[tuple]:
-        for archive, name, place in _rows(batches):
+        for archive, name, place in shared.rows_of(batches):
             record = json.loads(archives.member(opened(archive), name, place["at"], place["packed"], place["crc"]).decode("utf-8-sig"))
             raw, source, label = (record[k] for k in ("raw_data_info", "source_data_info", "learning_data_info"))
             x, y = [*(label.get("bounding_box") or []), 0, 0][:2] if len(label.get("bounding_box") or []) != 1 else (label["bounding_box"][0], 0)
@@ -345,7 +320,7 @@ def labelled_elements(spark: SparkSession, path: str, manifest: DataFrame | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = archives.Opened()
-        yield from _batches(labels(batches, opened), kinds)
+        yield from shared.batches_of(labels(batches, opened), kinds)
         opened.close()
 
     read = _dealt(members, "archive").mapInArrow(run, schema)

@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gleanmill import shared
 from gleanmill.operators import chunking as ck
 from gleanmill.operators import documents as dc
 from gleanmill.operators import layout
@@ -121,3 +123,25 @@ def test_regex_tokens_match_python(spark):
     text = "Ünïcode, don't — 3.5% 가나다_x\n\ttab"
     n = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert ck.fixed_chunks(n).collect()[0].token_end == len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def test_rows_are_taken_and_given_in_slices():
+    taken = []
+    batch = pa.RecordBatch.from_pydict({"i": list(range(3000)), "t": ["x" * 20_000] * 3000})
+
+    def longer():
+        for i, t in shared.rows_of(iter([batch])):
+            taken.append(i)
+            yield i, t
+
+    first = next(shared.batches_of(longer(), shared.arrow_schema("i long, t string")))
+    assert len(taken) == first.num_rows == 210  # 4 MB of characters, not the 3000 rows that came
+    whole = list(shared.batches_of(shared.rows_of(iter([batch, batch.slice(0, 0)])), shared.arrow_schema("i long, t string")))
+    assert pa.Table.from_batches(whole).column("i").to_pylist() == list(range(3000))
+
+
+def test_units_are_packed_without_pandas(spark):
+    rows = spark.createDataFrame([(1, "One two. Three four."), (2, None), (3, "")], "doc_id long, text string")
+    out = ck.packed_units(rows, 4)
+    assert [(r.doc_id, r.content) for r in out.collect()] == [(1, c[0]) for c in ck.pack_units(["One two.", "Three four."], 4, 2)]
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
